@@ -64,13 +64,12 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, fan_in: int = 8, one_task: int = ONE_TASK) -> DataFrame:
     """(node, root) for every node of an edge, root being the component's smallest node.
 
-    ``edges`` has two long columns. Self edges and repeated edges are allowed,
-    rows with a null end are left out. An empty table gives an empty result.
-    The result is a written table and holds the smallest node itself too.
+    ``edges`` has two long columns. Rows with a null end or with one node twice
+    link nothing and are left out, repeated edges change nothing. An empty table
+    gives an empty result. The result holds the smallest node itself too.
     """
     a, b = edges.columns[:2]
     clean = edges.select(F.col(a).cast("long").alias("node"), F.col(b).cast("long").alias("root")).na.drop()
-    selves = clean.where("node = root")
     clean = clean.where("node <> root")
     forest = written(clean.mapInArrow(_forest, FOREST), "forest")
     held = forest.count()
@@ -86,8 +85,8 @@ def components(edges: DataFrame, fan_in: int = 8, one_task: int = ONE_TASK) -> D
             forest = forest.repartition(width, F.pmod(F.xxhash64("root"), F.lit(width))).mapInArrow(_forest, FOREST)
         forest = forest.coalesce(1).mapInArrow(_forest, FOREST)
     forest = written(forest, "components")
-    roots = forest.select(F.col("root").alias("node"), "root").union(selves)
-    return forest.union(roots).groupBy("node").agg(F.min("root").alias("root"))
+    roots = forest.select(F.col("root").alias("node"), "root").distinct()
+    return forest.union(roots)
 
 
 def _starred(forest: DataFrame) -> tuple[DataFrame, bool]:

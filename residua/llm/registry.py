@@ -1,8 +1,8 @@
 """Queries of this subpackage, with their SQL, by name."""
 
-from residua.llm import p01_near_duplicates, p03_groups
+from residua.llm import p01_near_duplicates, p02_exact_spans, p03_groups, p04_clusters
 
-MODULES = (p01_near_duplicates, p03_groups)
+MODULES = (p01_near_duplicates, p02_exact_spans, p03_groups, p04_clusters)
 
 
 def queries() -> dict:
