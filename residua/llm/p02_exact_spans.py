@@ -20,9 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.llm.packets import Texts, delivered, exchange, mixed, parts_of, runs
+from residua.llm.packets import PACKET, Texts, bit_slices, bloom_has, bloom_places, delivered, exchange, merged_bits, mixed, runs
 from residua.llm.sketches import keys_of, new_texts
-from residua.session import written
 
 #: Residues of a shared stretch and of a block; 2 * BLOCK - 1 <= STRETCH.
 STRETCH, BLOCK = 25, 13
@@ -41,43 +40,18 @@ def block_values(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, at, mixed(value)
 
 
-def _bits(value: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    yield value & np.uint64(size - 1)
-    yield (value >> np.uint64(32)) * np.uint64(0x9E3779B1) & np.uint64(size - 1)
-
-
 def block_filter(text: DataFrame, size: int) -> bytes:
     """Bloom filter of all blocks; ``size`` is a power of two."""
-    slices = 64
 
     def fill(batches):
         bits = np.zeros(size, np.bool_)
         for _, texts in new_texts(batches):
             _, at, value = block_values(texts)
-            for place in _bits(value[at % BLOCK == 0], size):
+            for place in bloom_places(value[at % BLOCK == 0], size):
                 bits[place] = True
-        whole = np.packbits(bits, bitorder="little")
-        step = len(whole) // slices
-        for i in range(slices):
-            part = whole[i * step : (i + 1) * step]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["part", "packet"])
-
-    def merge(batches):
-        merged: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, packet in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(packet.as_buffer(), np.uint8)
-                merged[i] = merged[i] | part if i in merged else part.copy()
-        for i, part in merged.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["part", "packet"])
-
-    schema = "part int, packet binary"
-    whole = np.zeros(size // 8, np.uint8)
-    step = len(whole) // slices
-    for row in text.mapInArrow(fill, schema).repartition(slices // 8, "part").mapInArrow(merge, schema).toLocalIterator():
-        whole[row.part * step : (row.part + 1) * step] = np.frombuffer(row.packet, np.uint8)
-    return whole.tobytes()
+        yield from bit_slices(np.packbits(bits, bitorder="little"))
+
+    return merged_bits(text.mapInArrow(fill, PACKET), size)
 
 
 def _flanks(texts: Texts, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,9 +73,7 @@ def _anchors(bits: object, size: int):
         held = np.frombuffer(bits.value, np.uint8)
         for sid, texts in new_texts(batches):
             text, at, value = block_values(texts)
-            hit = np.ones(len(value), np.bool_)
-            for place in _bits(value, size):
-                hit &= (held[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(np.bool_)
+            hit = bloom_has(held, value, size)
             text, at, value = text[hit], at[hit], value[hit]
             left, right = _flanks(texts, text, at)
             entries = np.empty(len(value), ANCHOR)
@@ -177,7 +149,7 @@ def _send_spans(batches):
         entries = np.empty(batch.num_rows, SPAN)
         for name, column in zip(SPAN.names, batch.columns):
             entries[name] = column.to_numpy(zero_copy_only=False)
-        yield entries, mixed(entries["sid"].view(np.uint64) if entries["sid"].flags.c_contiguous else np.ascontiguousarray(entries["sid"]).view(np.uint64))
+        yield entries, mixed(np.ascontiguousarray(entries["sid"]).view(np.uint64))
 
 
 def _join_spans(part: int, entries: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -193,8 +165,8 @@ def text_spans(records: DataFrame, most_bits: int = FILTER_BITS) -> DataFrame:
     """
     spark = records.sparkSession
     text = delivered(records, STRETCH).select("sid", "residues")
-    size = 1 << 16
-    while size < most_bits and size < 256 * records.count():
+    size, rows = 1 << 16, records.count()
+    while size < most_bits and size < 128 * rows:
         size <<= 1
     bits = spark.sparkContext.broadcast(block_filter(text, size))
     found = exchange(text, _anchors(bits, size), ANCHOR, _shared, SPANS)

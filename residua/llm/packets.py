@@ -92,19 +92,25 @@ class Texts:
 
 
 def packed(entries: np.ndarray, keys: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """Entries grouped by destination ``keys % parts``."""
+    """Entries grouped by destination ``keys % parts``, byte plane after byte plane, so that constant planes compress."""
     if not len(entries):
         return
     to = (keys % np.uint64(parts)).astype(np.int64)
     order = np.argsort(to, kind="stable")
-    entries, to = entries[order], to[order]
+    to = to[order]
+    planes = entries[order].view(np.uint8).reshape(len(entries), -1)
     edges = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True])
     yield pa.RecordBatch.from_arrays(
-        [pa.array(to[edges[:-1]], pa.int32()), pa.array([entries[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())],
+        [pa.array(to[edges[:-1]], pa.int32()), pa.array([planes[a:b].T.tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())],
         ["part", "packet"],
     )
 
 
+def unpacked(packets: list[bytes], dtype: np.dtype) -> np.ndarray:
+    planes = [np.frombuffer(p, np.uint8).reshape(dtype.itemsize, -1).T for p in packets]
+    return np.ascontiguousarray(np.concatenate(planes)).view(dtype).ravel()
+
+
 PACKET = "part int, packet binary"
 
 
@@ -133,12 +139,12 @@ def exchange(
         for batch in batches:
             for part, packet in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if part != now and held:
-                    yield from use(now, np.frombuffer(b"".join(held), dtype))
+                    yield from use(now, unpacked(held, dtype))
                     held = []
                 now = part
                 held.append(packet.as_buffer().to_pybytes())
         if held:
-            yield from use(now, np.frombuffer(b"".join(held), dtype))
+            yield from use(now, unpacked(held, dtype))
 
     sent = df.mapInArrow(sending, PACKET)
     together = sent.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part")
@@ -151,3 +157,79 @@ def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     edges = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1], True])
     return edges[:-1], edges[1:]
+
+
+class LongFilter:
+    """Bloom filter over 64-bit values with at most ``most`` bits (a power of two).
+
+    It only keeps rows out of shuffles; beyond its size it lets more rows through.
+    """
+
+    def __init__(self, values: DataFrame, column: str, most: int = 1 << 27):
+        size = 1 << 16
+        while size < most and size < 16 * values.count():
+            size <<= 1
+        self.size = size
+
+        def fill(batches):
+            bits = np.zeros(size, np.bool_)
+            for batch in batches:
+                for place in bloom_places(mixed(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)), size):
+                    bits[place] = True
+            yield from bit_slices(np.packbits(bits, bitorder="little"))
+
+        self.bits = values.sparkSession.sparkContext.broadcast(merged_bits(values.select(column).mapInArrow(fill, PACKET), size))
+
+    def of(self, df: DataFrame, column: str) -> DataFrame:
+        """Rows of ``df`` whose ``column`` may be among the values."""
+        size, held, at = self.size, self.bits, df.columns.index(column)
+
+        def keep(batches):
+            bits = np.frombuffer(held.value, np.uint8)
+            for batch in batches:
+                value = mixed(batch.column(at).to_numpy(zero_copy_only=False).view(np.uint64))
+                yield batch.filter(pa.array(bloom_has(bits, value, size)))
+
+        return df.mapInArrow(keep, df.schema)
+
+
+SLICES = 64
+
+
+def bloom_places(value: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    yield value & np.uint64(size - 1)
+    yield (value >> np.uint64(32)) * np.uint64(0x9E3779B1) & np.uint64(size - 1)
+
+
+def bloom_has(bits: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
+    hit = np.ones(len(value), np.bool_)
+    for place in bloom_places(value, size):
+        hit &= (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(np.bool_)
+    return hit
+
+
+def bit_slices(whole: np.ndarray) -> Iterator[pa.RecordBatch]:
+    step = len(whole) // SLICES
+    for i in range(SLICES):
+        part = whole[i * step : (i + 1) * step]
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["part", "packet"])
+
+
+def merged_bits(slices: DataFrame, size: int) -> bytes:
+    """All tasks' bit slices united; at most ``size`` bits come to the driver."""
+
+    def merge(batches):
+        merged: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, packet in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = np.frombuffer(packet.as_buffer(), np.uint8)
+                merged[i] = merged[i] | part if i in merged else part.copy()
+        for i, part in merged.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["part", "packet"])
+
+    whole = np.zeros(size // 8, np.uint8)
+    step = len(whole) // SLICES
+    for row in slices.repartition(SLICES // 8, "part").mapInArrow(merge, PACKET).toLocalIterator():
+        whole[row.part * step : (row.part + 1) * step] = np.frombuffer(row.packet, np.uint8)
+    return whole.tobytes()
