@@ -14,21 +14,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.llm.forests import FOREST, components, spanning
-from residua.llm.packets import delivered, exchange, runs
-from residua.llm.sketches import ENTRY, grams, keys_of, seeding
+from residua.llm.forests import FOREST, components
+from residua.llm.packets import delivered, exchange
+from residua.llm.sketches import ENTRY, grams, seeding, shared_seeds
 from residua.session import written
 
 #: Window of the similarity, and the least share of common windows, as a fraction.
 WINDOW, SHARE, LEAST = 5, (3, 5), 30
-#: Windows and number of the seeds: a pair at the threshold, of which about 0.43
-#: of the 8-residue windows agree, is missed with a probability near 0.00001.
-SEED, SEEDS = 8, 20
+#: Windows and number of the seeds: of a pair at the threshold about 0.6 of the
+#: 8-residue windows agree, so that it is missed with a probability near 0.4 ** 16.
+SEED, SEEDS = 8, 16
 #: Texts in one BK-tree.
 SHARD = 4000
 
@@ -72,18 +71,6 @@ class BKTree:
                     stack.append(child)
 
 
-def _shared_seeds(part: int, entries: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Spanning forest of the texts that share seeds within one destination."""
-    key, sid = keys_of(entries), entries["sid"]
-    order = np.lexsort((sid, key))
-    key, sid = key[order], sid[order]
-    begin, end = runs(key)
-    root = np.repeat(sid[begin], end - begin)
-    linked = sid != root
-    node, root = spanning(sid[linked], root[linked])
-    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["node", "root"])
-
-
 def _searched(share: tuple[int, int], window: int):
     def search(batches):
         now, tree, whole = None, BKTree(), True
@@ -122,7 +109,7 @@ def near_pairs(records: DataFrame, share: tuple[int, int] = SHARE, window: int =
     Null and short sequences take no part, ties and repeated rows change nothing.
     """
     text = delivered(records, least).select("sid", "residues")
-    seeded = exchange(text, seeding(SEED, SEEDS), ENTRY, _shared_seeds, FOREST)
+    seeded = exchange(text, seeding(SEED, SEEDS), ENTRY, shared_seeds, FOREST)
     home = components(seeded)
     sizes = home.groupBy("root").count().where(F.col("count") > shard).select("root", F.ceil(F.col("count") / shard).cast("int").alias("blocks"))
     home = home.join(sizes, "root", "left").select(F.col("node").alias("sid"), F.col("root").alias("shard"), F.coalesce("blocks", F.lit(1)).alias("blocks"))

@@ -1,11 +1,11 @@
 """Seeds by which similar residue texts find each other.
 
-The seeds of a text are, for each of several random orders of all windows of
-``k`` residues, the text's first window in that order. Two texts share the seed
-of one order with a probability equal to the Jaccard similarity of their window
-sets, so that with n orders a pair of similarity j is missed with probability
-(1 - j) ** n. Seeds are data-independent: a text keeps its seeds however large
-the collection grows.
+All windows of ``k`` residues have one random order, and the seeds of a text are
+its first ``n`` distinct windows in that order. A window that two texts share
+and that comes early is a seed of both: of texts of equal size with a share s of
+their windows in common, about n * s seeds agree, and the pair is missed with a
+probability below (1 - s) ** n; short texts give all their windows. Seeds do not
+depend on the collection: a text keeps its seeds however large it grows.
 """
 
 from __future__ import annotations
@@ -15,27 +15,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from residua.llm.packets import Texts, mixed
+from residua.llm.forests import spanning
+from residua.llm.packets import Texts, mixed, runs
 
 ENTRY = np.dtype([("key", "V6"), ("sid", "<i8")])
 
 
-def order_factors(n: int) -> np.ndarray:
-    """Odd multipliers that define the n orders."""
-    return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-
-
-def seeds(texts: Texts, k: int, n: int) -> np.ndarray:
-    """Keys of the seeds, one row for each text; every text must have k residues or more."""
+def seeds(texts: Texts, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, key) of all seeds, by text; a text under k residues has none."""
     text, _, value = texts.windows(k)
     value = mixed(value)
-    first = np.searchsorted(text, np.arange(len(texts.lengths)))
-    keys = np.empty((len(first), n), np.uint64)
-    for i, factor in enumerate(order_factors(n)):
-        ordered = value * factor
-        ordered ^= ordered >> np.uint64(32)
-        keys[:, i] = mixed(np.minimum.reduceat(ordered, first) + np.uint64(i))
-    return keys
+    order = np.lexsort((value, text))
+    text, value = text[order], value[order]
+    if len(text):
+        fresh = np.r_[True, (value[1:] != value[:-1]) | (text[1:] != text[:-1])]
+        text, value = text[fresh], value[fresh]
+    rank = np.arange(len(text)) - np.searchsorted(text, np.arange(len(texts.lengths)))[text]
+    early = rank < n
+    return text[early], mixed(value[early])
 
 
 def new_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Texts]]:
@@ -71,8 +68,8 @@ def seeding(k: int, n: int):
 
     def make(batches):
         for sid, texts in new_texts(batches):
-            keys = seeds(texts, k, n).ravel()
-            yield keyed(keys, np.repeat(sid, n)), keys
+            text, keys = seeds(texts, k, n)
+            yield keyed(keys, sid[text]), keys
 
     return make
 
@@ -80,3 +77,15 @@ def seeding(k: int, n: int):
 def grams(text: str, k: int) -> frozenset[str]:
     """Distinct windows of k residues."""
     return frozenset(text[i : i + k] for i in range(len(text) - k + 1))
+
+
+def shared_seeds(part: int, entries: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Spanning forest of the texts that share seeds within one destination."""
+    key, sid = keys_of(entries), entries["sid"]
+    order = np.lexsort((sid, key))
+    key, sid = key[order], sid[order]
+    begin, end = runs(key)
+    root = np.repeat(sid[begin], end - begin)
+    linked = sid != root
+    node, root = spanning(sid[linked], root[linked])
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["node", "root"])
