@@ -1,8 +1,19 @@
 """Queries of this subpackage, with their SQL, by name."""
 
-from residua.llm import p01_near_duplicates, p02_exact_spans, p03_groups, p04_clusters
+from residua.llm import (
+    p01_near_duplicates,
+    p02_exact_spans,
+    p03_groups,
+    p04_clusters,
+    p05_splits,
+    p06_overlap,
+    p07_layout,
+    p08_packing,
+    p09_leaks,
+    p10_lookalikes,
+)
 
-MODULES = (p01_near_duplicates, p02_exact_spans, p03_groups, p04_clusters)
+MODULES = (p01_near_duplicates, p02_exact_spans, p03_groups, p04_clusters, p05_splits, p06_overlap, p07_layout, p08_packing, p09_leaks, p10_lookalikes)
 
 
 def queries() -> dict:
