@@ -191,7 +191,7 @@ WITH rec AS (
   SELECT DISTINCT seq_id AS k, upper(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) AS v FROM provenance_records WHERE seq_id IS NOT NULL),
 sub AS (
   SELECT result_id AS k, array_to_string(list_sort(list_filter(list_transform(regexp_split_to_array(original_sequence, '[|;]'),
-    x -> lower(regexp_replace(x, '[^\p{L}\p{N}]+', '', 'g'))), x -> x <> '')), '|') AS v FROM sanitization_results),
+    lambda x: lower(regexp_replace(x, '[^\p{L}\p{N}]+', '', 'g'))), lambda x: x <> '')), '|') AS v FROM sanitization_results),
 rows AS (SELECT 'record' AS origin, k, v FROM rec WHERE v <> '' UNION ALL SELECT 'submission', k, v FROM sub WHERE v <> ''),
 sets AS (SELECT origin, v, min(k) AS first_key, count(*) AS n FROM rows GROUP BY origin, v HAVING count(*) > 1)
 """

@@ -25,7 +25,7 @@ from residua.session import written
 
 #: Units of a capacity, texts per solved combination, rounds of the solver, and
 #: number of slots in which texts are numbered.
-BINS, DEPTH, ROUNDS = 512, 3, 400
+BINS, DEPTH, ROUNDS = 1024, 3, 300
 
 SLOTS = 4096
 
@@ -95,7 +95,7 @@ class Plan:
         container = 0
         plans = combinations(bins, depth)
         repeat = np.floor(solved(histogram.astype(float), plans)).astype(np.int64) if left.sum() else np.zeros(len(plans), np.int64)
-        for j in np.argsort(-repeat, kind="stable"):
+        for j in sorted(np.flatnonzero(repeat), key=lambda j: -repeat[j]):
             plan = plans[j]
             units, each = np.unique(plan, return_counts=True)
             times = int(min(repeat[j], *(left[units] // each)))
@@ -249,8 +249,8 @@ def p8_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per window: containers, tokens, the share of the room that is used and the cut texts."""
     windows = spark.read.parquet(f"{sf_dir}/context_windows.parquet")
     rows = p8_packing(spark, sf_dir)
-    containers = rows.groupBy("window_name", "container").agg(F.sum("tokens").alias("tokens"), F.count_if("part_no > 0").alias("cut"))
-    used = containers.groupBy("window_name").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"))
+    containers = rows.groupBy("window_name", "container").agg(F.sum("tokens").alias("tokens"), F.count_if(F.col("part_no") > 0).alias("cut"))
+    used = containers.groupBy("window_name").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"), F.sum("cut").alias("later_parts"))
     return used.join(windows, "window_name").withColumn("used", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 4))
 
 
