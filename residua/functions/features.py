@@ -152,7 +152,7 @@ def acc(df: DataFrame, lags: int = 5, table: dict[str, tuple[int, ...]] | None =
             value = np.zeros((len(order), lags))
             for lag in range(1, min(lags, len(z) - 1) + 1):
                 value[:, lag - 1] = (z[:-lag].T @ z[lag:] / (len(z) - lag))[left, right]
-            out.append(np.round(value.ravel(), 6))
+            out.append(value.ravel())
         return pd.Series(out)
 
     return df.where("sequence is not null").select("id", terms("sequence").alias("terms"))

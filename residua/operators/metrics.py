@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from residua.functions.scales import rounded
+from residua.session import written
 
 
 def _r(column: Column, digits: int = 4) -> Column:
@@ -54,18 +55,28 @@ def losses(df: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     return valid(df).groupBy(*by).agg(F.count("*").alias("n"), _r(F.avg((p - y) * (p - y))).alias("brier"), _r(F.avg(-(y * F.ln(p) + (1 - y) * F.ln(1 - p)))).alias("log_loss"))
 
 
-def running(df: DataFrame, order: Column, sums: dict[str, str], by: list[str] = [], slots: int = 0) -> DataFrame:  # noqa: B006
+def in_slots(df: DataFrame, order: list[Column], slots: int = 0) -> DataFrame:
+    """Rows in range partitions with their number as ``_slot``.
+
+    They are written once, since bounds are sampled and partitions merged anew
+    each time a plan runs, and numbers must agree wherever they are read.
+    """
+    slots = slots or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(slots, *order).withColumn("_slot", F.spark_partition_id()), "slots")
+
+
+def running(df: DataFrame, order: Column | list[Column], sums: dict[str, str], by: list[str] = [], slots: int = 0) -> DataFrame:  # noqa: B006
     """Adds ``sums`` (new column: summed column) as running sums in the order, within ``by``.
 
     Without ``by`` the rows are range-partitioned; each partition sums up, the
     totals of the partitions, one row each, are summed in turn and added.
     """
     if by:
-        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        w = Window.partitionBy(*by).orderBy(*(order if isinstance(order, list) else [order])).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({n: F.sum(c).over(w) for n, c in sums.items()})
-    slots = slots or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = df.repartitionByRange(slots, order).withColumn("_slot", F.spark_partition_id())
-    w = Window.partitionBy("_slot").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    orders = order if isinstance(order, list) else [order]
+    spread = in_slots(df, orders, slots)
+    w = Window.partitionBy("_slot").orderBy(*orders).rowsBetween(Window.unboundedPreceding, 0)
     totals = spread.groupBy("_slot").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
     before = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as slots
     totals = totals.select("_slot", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums])
@@ -122,8 +133,7 @@ def ranked(df: DataFrame, order: list[Column], by: list[str] = [], name: str = "
     """Adds the row's number in the order, without bringing all rows to one task."""
     if by:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
-    slots = slots or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = df.repartitionByRange(slots, *order).withColumn("_slot", F.spark_partition_id())
+    spread = in_slots(df, order, slots)
     counts = spread.groupBy("_slot").count()
     before = counts.select("_slot", F.coalesce(F.sum("count").over(Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     out = spread.withColumn(name, F.row_number().over(Window.partitionBy("_slot").orderBy(*order)).cast("long")).join(F.broadcast(before), "_slot")
