@@ -73,15 +73,17 @@ class BKTree:
 
 def _searched(share: tuple[int, int], window: int):
     def search(batches):
-        now, tree, whole = None, BKTree(), True
+        # texts at home in a block come first, so that they meet each other once;
+        # visitors of other blocks meet each pair twice
+        now, tree = None, BKTree()
         found: list[tuple] = []
         for batch in batches:
-            for shard, block, blocks, home, sid, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, block, home, sid, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if (shard, block) != now:
-                    now, tree, whole = (shard, block), BKTree(), blocks == 1
+                    now, tree = (shard, block), BKTree()
                 value = grams(text, window)
                 for other, common, either in tree.within(value, share):
-                    if whole or sid < other:
+                    if home or sid < other:
                         found.append((min(sid, other), max(sid, other), common, either))
                 if home:
                     tree.add(sid, value)
@@ -115,8 +117,8 @@ def near_pairs(records: DataFrame, share: tuple[int, int] = SHARE, window: int =
     home = home.join(sizes, "root", "left").select(F.col("node").alias("sid"), F.col("root").alias("shard"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
     placed = text.join(home, "sid").distinct()
     placed = placed.select("*", F.expr("pmod(xxhash64(sid, 7), blocks)").cast("int").alias("own"))
-    placed = placed.select("shard", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "blocks", "own", "sid", "residues")
-    placed = placed.select("shard", "block", "blocks", (F.col("own") == F.col("block")).alias("home"), "sid", "residues")
+    placed = placed.select("shard", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "own", "sid", "residues")
+    placed = placed.select("shard", "block", (F.col("own") == F.col("block")).alias("home"), "sid", "residues")
     placed = placed.repartition("shard", "block").sortWithinPartitions("shard", "block", F.desc("home"))
     return placed.mapInArrow(_searched(share, window), PAIRS)
 

@@ -25,14 +25,28 @@ def seeds(texts: Texts, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(text index, key) of all seeds, by text; a text under k residues has none."""
     text, _, value = texts.windows(k)
     value = mixed(value)
-    order = np.lexsort((value, text))
-    text, value = text[order], value[order]
-    if len(text):
-        fresh = np.r_[True, (value[1:] != value[:-1]) | (text[1:] != text[:-1])]
-        text, value = text[fresh], value[fresh]
-    rank = np.arange(len(text)) - np.searchsorted(text, np.arange(len(texts.lengths)))[text]
+    counts = np.maximum(texts.lengths - k + 1, 0)
+    # few windows beyond the n-th of a text lie below this bound; a text with too few below it keeps all
+    share = np.minimum(1.0, (n + 5 * n**0.5) / np.maximum(counts, 1))
+    bound = np.where(share < 1, (share * 2.0**64).astype(np.float64), 0).astype(np.uint64) - np.uint64(1)
+    # text and value in one word, so that one sort does
+    bits = np.uint64(max(1, len(counts)).bit_length())
+
+    def ordered(kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        word = np.sort(text[kept].astype(np.uint64) << (np.uint64(64) - bits) | value[kept] >> bits)
+        word = word[np.r_[True, word[1:] != word[:-1]]] if len(word) else word
+        return (word >> (np.uint64(64) - bits)).astype(np.int64), word
+
+    low = value <= bound[text]
+    owner, word = ordered(low)
+    # repeated windows or chance may leave a text too few below its bound
+    few = (np.bincount(owner, minlength=len(counts)) < n) & (share < 1)
+    if few.any():
+        owner, word = ordered(low | few[text])
+    text = owner
+    rank = np.arange(len(text)) - np.searchsorted(text, np.arange(len(counts)))[text]
     early = rank < n
-    return text[early], mixed(value[early])
+    return text[early], mixed(word[early] << bits >> np.uint64(16))
 
 
 def new_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Texts]]:
