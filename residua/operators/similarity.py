@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from residua.functions.features import kmer_set
 from residua.functions.scales import RESIDUES, rounded
+from residua.session import written
 
 
 def distinct_texts(df: DataFrame) -> DataFrame:
@@ -28,8 +29,9 @@ def jaccard_pairs(df: DataFrame, k: int = 3, share: tuple[int, int] = (7, 20), m
     """
     up, down = share
     t = up / down
-    grams = distinct_texts(df.where("sequence is not null")).select("rep", kmer_set("sequence", k).alias("g")).withColumn("n", F.size("g"))
-    flat = grams.select("rep", "n", F.explode("g").alias("w"))
+    named = distinct_texts(df.where("sequence is not null")).select(F.xxhash64("sequence").alias("rep"), F.col("rep").alias("id"), kmer_set("sequence", k).alias("g"))
+    grams = written(named.withColumn("n", F.size("g")), "windows")
+    flat = grams.select("rep", "n", F.explode("g").alias("w")).withColumn("w", F.xxhash64("w"))
     rare = flat.groupBy("w").agg(F.count("*").alias("df"))
     ordered = flat.join(rare, "w").where("df > 1").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
     # windows of one text only come first in the order and use up places of the prefix
@@ -39,9 +41,9 @@ def jaccard_pairs(df: DataFrame, k: int = 3, share: tuple[int, int] = (7, 20), m
     left, right = (keys.select("w", F.col("rep").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
     needed = F.least(F.lit(matches), F.ceil(F.greatest("n_a", "n_b") * t - 1e-9))
     near = left.join(right, "w").where((F.col("a") < F.col("b")) & (F.col("n_a") * down >= F.col("n_b") * up) & (F.col("n_b") * down >= F.col("n_a") * up))
-    near = near.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("met")).where(F.col("met") >= needed).select("a", "b")
-    one, two = (grams.select(F.col("rep").alias(c), F.col("g").alias(f"g_{c}"), F.col("n").alias(f"m_{c}")) for c in "ab")
-    both = near.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("g_a", "g_b")).alias("common"), "m_a", "m_b")
+    near = near.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b")).where(F.col("met") >= needed).select("a", "b")
+    one, two = (grams.select(F.col("rep").alias(c), F.col("id").alias(f"id_{c}"), F.col("g").alias(f"g_{c}"), F.col("n").alias(f"m_{c}")) for c in "ab")
+    both = near.join(one, "a").join(two, "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), F.size(F.array_intersect("g_a", "g_b")).alias("common"), "m_a", "m_b")
     return both.select("a", "b", "common", (F.col("m_a") + F.col("m_b") - F.col("common")).alias("either")).where(F.col("common") * down >= F.col("either") * up)
 
 
