@@ -74,15 +74,18 @@ def components(edges: DataFrame, fan_in: int = 8, one_task: int = ONE_TASK) -> D
     forest = written(clean.mapInArrow(_forest, FOREST), "forest")
     held = forest.count()
     width = max(1, forest.rdd.getNumPartitions())
-    while held > one_task:
-        forest, changed = _starred(forest)
+    # level by level: forests of several partitions become one, and edges that say the same go
+    while held > one_task and width > 1 and 2 * held <= width * one_task:
+        width = -(-width // max(2, min(fan_in, int(width * one_task // held))))
+        forest = written(forest.coalesce(width).mapInArrow(_forest, FOREST), "forest")
         held = forest.count()
-        if not changed:
-            break
+    if held > one_task:
+        changed = True
+        while changed:
+            forest, changed = _starred(forest)
     else:
-        while width > fan_in and held > CHUNK:
-            width = -(-width // fan_in)
-            forest = forest.repartition(width, F.pmod(F.xxhash64("root"), F.lit(width))).mapInArrow(_forest, FOREST)
+        if width > fan_in and held > CHUNK:
+            forest = written(forest.coalesce(-(-width // fan_in)).mapInArrow(_forest, FOREST), "forest")
         forest = forest.coalesce(1).mapInArrow(_forest, FOREST)
     forest = written(forest, "components")
     roots = forest.select(F.col("root").alias("node"), "root").distinct()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.llm.packets import PACKET, Texts, bit_slices, bloom_has, bloom_places, delivered, exchange, merged_bits, mixed, runs
+from residua.llm.packets import PACKET, Texts, bit_slices, bloom_has, bloom_places, delivered, exchange, merged_bits, mixed, runs, set_bits
 from residua.llm.sketches import keys_of, new_texts
 
 #: Residues of a shared stretch and of a block; 2 * BLOCK - 1 <= STRETCH.
@@ -44,12 +44,12 @@ def block_filter(text: DataFrame, size: int) -> bytes:
     """Bloom filter of all blocks; ``size`` is a power of two."""
 
     def fill(batches):
-        bits = np.zeros(size, np.bool_)
+        bits = np.zeros(size // 8, np.uint8)
         for _, texts in new_texts(batches):
             _, at, value = block_values(texts)
             for place in bloom_places(value[at % BLOCK == 0], size):
-                bits[place] = True
-        yield from bit_slices(np.packbits(bits, bitorder="little"))
+                set_bits(bits, place)
+        yield from bit_slices(bits)
 
     return merged_bits(text.mapInArrow(fill, PACKET), size)
 

@@ -172,11 +172,11 @@ class LongFilter:
         self.size = size
 
         def fill(batches):
-            bits = np.zeros(size, np.bool_)
+            bits = np.zeros(size // 8, np.uint8)
             for batch in batches:
                 for place in bloom_places(mixed(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)), size):
-                    bits[place] = True
-            yield from bit_slices(np.packbits(bits, bitorder="little"))
+                    set_bits(bits, place)
+            yield from bit_slices(bits)
 
         self.bits = values.sparkSession.sparkContext.broadcast(merged_bits(values.select(column).mapInArrow(fill, PACKET), size))
 
@@ -201,6 +201,10 @@ def bloom_places(value: np.ndarray, size: int) -> Iterator[np.ndarray]:
     yield (value >> np.uint64(32)) * np.uint64(0x9E3779B1) & np.uint64(size - 1)
 
 
+def set_bits(bits: np.ndarray, place: np.ndarray) -> None:
+    np.bitwise_or.at(bits, (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
+
+
 def bloom_has(bits: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
     hit = np.ones(len(value), np.bool_)
     for place in bloom_places(value, size):
