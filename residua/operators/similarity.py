@@ -53,17 +53,15 @@ def positional_identity(a: str, b: str, over: str = "greatest") -> Column:
     return F.expr(f"CASE WHEN length({a}) > 0 AND length({b}) > 0 THEN CAST({same} AS DOUBLE) / {over}(length({a}), length({b})) ELSE 0D END")
 
 
-def positional_pairs(df: DataFrame, identity: float = 0.98, block: int = 16) -> DataFrame:
+def positional_pairs(df: DataFrame, identity: float = 0.98) -> DataFrame:
     """(a, b, identity) of different texts with equal residues in at least a share of the places.
 
-    Two such texts differ in fewer places than they have blocks of ``block``
-    residues at fixed places, hence agree in a whole block at the same place,
-    which is what is joined; texts too short for that can only be equal.
+    With blocks of half the length at which one difference is allowed, two such
+    texts have more whole blocks than differences, hence agree in a block at the
+    same place, which is what is joined. Shorter texts can only be equal.
     """
-    if block * (1 - identity) >= 1:
-        raise ValueError("blocks are too long for this identity")
+    block = max(1, int(0.5 / (1 - identity) + 1e-9))
     text = distinct_texts(df.where("sequence is not null")).withColumn("len", F.length("sequence"))
-    # below 1 / (1 - identity) residues one difference is too many
     blocks = text.where(F.col("len") >= block).select("rep", "len", F.explode(F.expr(f"transform(sequence(0, len DIV {block} - 1), i -> named_struct('i', i, 'h', xxhash64(substr(sequence, i * {block} + 1, {block}))))")).alias("k"))
     left, right = (blocks.select("k", F.col("rep").alias(c), F.col("len").alias(f"l_{c}")) for c in "ab")
     fits = F.least("l_a", "l_b") >= F.greatest("l_a", "l_b") * identity
