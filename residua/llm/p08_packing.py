@@ -150,10 +150,16 @@ class Plan:
             open_[space] = []
         open_[space].append((first, number))
 
-    def container(self, unit: int, number: np.ndarray) -> np.ndarray:
-        """Container of the text with this number within its unit."""
-        at = np.searchsorted(self.starts[unit], number, "right") - 1
-        return self.first[unit][at] + number - self.starts[unit][at]
+    def table(self) -> tuple[int, dict[int, tuple[np.ndarray, np.ndarray]]]:
+        """Number of containers, and the ranges of every unit, as plain values."""
+        return self.containers, {u: (self.starts[u], self.first[u]) for u in self.starts}
+
+
+def container_of(ranges: tuple[np.ndarray, np.ndarray], number: np.ndarray) -> np.ndarray:
+    """Container of the text with this number within its unit."""
+    starts, first = ranges
+    at = np.searchsorted(starts, number, "right") - 1
+    return first[at] + number - starts[at]
 
 
 PLACED = "doc_id long, part_no int, token_start long, tokens long, container long"
@@ -197,10 +203,10 @@ def packed(documents: DataFrame, capacity: int, bins: int = BINS) -> DataFrame:
             before[r.slot] = histogram.copy()
         histogram[r.unit] += r.n
     plan = Plan(np.r_[0, histogram[1 : bins + 1]], bins)
-    held = spark.sparkContext.broadcast((plan, before))
+    held = spark.sparkContext.broadcast((*plan.table(), before))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, before = held.value
+        containers, ranges, before = held.value
         number: dict[int, np.ndarray] = {}
         for batch in batches:
             doc, size, slot = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -215,10 +221,10 @@ def packed(documents: DataFrame, capacity: int, bins: int = BINS) -> DataFrame:
                 for u in np.unique(units[here]):
                     some = here[units[here] == u]
                     if u:
-                        container[some] = plan.container(int(u), next_[u] + np.arange(len(some)))
+                        container[some] = container_of(ranges[int(u)], next_[u] + np.arange(len(some)))
                     next_[u] += len(some)
                 run = np.cumsum(fulls[here])
-                full_first[here] = plan.containers + next_[bins + 1] + run - fulls[here]
+                full_first[here] = containers + next_[bins + 1] + run - fulls[here]
                 next_[bins + 1] += run[-1]
             keep = rest > 0
             out = [(doc[keep], fulls[keep], fulls[keep] * capacity, rest[keep], container[keep])]
