@@ -39,10 +39,10 @@ def sanitized(df: DataFrame, key: str, column: str, most: float = 0.05, least: i
     """
     text = df.where(F.col(column).isNotNull()).select(key, _stripped(column).alias("s"))
     letters = F.expr("CASE WHEN length(s) > 0 THEN transform(sequence(1, length(s)), i -> substr(s, i, 1)) ELSE array() END")
-    log = """transform(c, (x, i) -> named_struct('position', i, 'original', x,
-        'converted', CASE WHEN upper(x) RLIKE '^[ACDEFGHIKLMNPQRSTVWY]$' THEN upper(x) WHEN upper(x) RLIKE '^[BZJUO]$' THEN translate(upper(x), 'BZJUO', 'NQLCK') END,
-        'action', CASE WHEN upper(x) RLIKE '^[ACDEFGHIKLMNPQRSTVWY]$' THEN CASE WHEN upper(x) <> x THEN 'case_converted' ELSE 'kept' END
-            WHEN upper(x) RLIKE '^[BZJUO]$' THEN 'mapped' ELSE 'stripped' END))"""
+    standard, mapped = "instr('ACDEFGHIKLMNPQRSTVWY', upper(x)) > 0", "instr('BZJUO', upper(x)) > 0"
+    log = f"""transform(c, (x, i) -> named_struct('position', i, 'original', x,
+        'converted', CASE WHEN {standard} THEN upper(x) WHEN {mapped} THEN translate(upper(x), 'BZJUO', 'NQLCK') END,
+        'action', CASE WHEN {standard} THEN CASE WHEN upper(x) <> x THEN 'case_converted' ELSE 'kept' END WHEN {mapped} THEN 'mapped' ELSE 'stripped' END))"""
     logged = text.withColumn("c", letters).withColumn("log", F.expr(log))
     altered = F.expr("size(filter(log, a -> a.action IN ('mapped', 'stripped')))")
     out = logged.select(

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from residua.session import written
 
-#: Different vectors that one task sorts into fronts; more go through joins.
-ONE_TASK = 30_000
+#: Different vectors that one task sorts into fronts; more go through joins. With
+#: three objectives and no margin, where sorting is nearly linear, CHAINED.
+ONE_TASK, CHAINED = 30_000, 1_000_000
 
 
 def dominates(a: str, b: str, objectives: list[str], margin: float = 0.0) -> Column:
@@ -56,13 +57,77 @@ def front_zero(df: DataFrame, objectives: list[str]) -> DataFrame:
     return df.join(first, objectives, "left_semi")
 
 
-def dominance_counts(df: DataFrame, objectives: list[str], margin: float = 0.0) -> DataFrame:
-    """Adds ``dominated_by``: the number of rows that dominate a row, equal vectors counted together."""
-    weighted = df.groupBy(*objectives).agg(F.count("*").alias("m"))
-    counted = weighted.alias("b").join(weighted.alias("a"), dominates("a", "b", objectives, margin)).groupBy(*[F.col(f"b.{o}").alias(o) for o in objectives]).agg(F.sum("a.m").alias("dominated_by"))
+def dominance_counts(df: DataFrame, objectives: list[str], margin: float = 0.0, block: int = 4096) -> DataFrame:
+    """Adds ``dominated_by``: the number of rows that dominate a row, equal vectors counted together.
+
+    Vectors are cut into blocks, and a task compares two blocks as matrices. Rows
+    with a null objective are dominated by none and dominate none.
+    """
+    weighted = written(df.na.drop(subset=objectives).groupBy(*objectives).agg(F.count("*").alias("m")), "points")
+    blocks = max(1, -(-weighted.count() // block))
+    placed = weighted.withColumn("own", F.pmod(F.xxhash64(*objectives), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    below = placed.select("*", F.col("own").alias("i"), every.alias("j"), F.lit(True).alias("asks"))
+    above = placed.select("*", every.alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks"))
+    k = len(objectives)
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        asks = frame["asks"].to_numpy(bool)
+        values, weight = frame[objectives].to_numpy(float), frame["m"].to_numpy()
+        b, a, w = values[asks], values[~asks], weight[~asks]
+        total = np.zeros(len(b), np.int64)
+        for start in range(0, len(b), 1024):
+            part = b[start : start + 1024]
+            worse, better = np.ones((len(part), len(a)), bool), np.zeros((len(part), len(a)), bool)
+            for o in range(k):
+                diff = a[None, :, o] - part[:, None, o]
+                worse &= diff >= -margin
+                better |= diff > margin
+            total[start : start + 1024] = (worse & better) @ w
+        return pd.DataFrame(b, columns=objectives).assign(n=total)[lambda f: f.n > 0]
+
+    schema = ", ".join(f"{o} double" for o in objectives) + ", n long"
+    counted = below.union(above).groupBy("i", "j").applyInPandas(compare, schema).groupBy(*objectives).agg(F.sum("n").alias("dominated_by"))
     return df.join(counted, objectives, "left").withColumn("dominated_by", F.coalesce("dominated_by", F.lit(0)))
 
 
+def _chained(matrix: np.ndarray) -> np.ndarray:
+    """Front of each of many different vectors of three objectives, without a margin.
+
+    A vector's front is one more than the highest front that dominates it. In
+    descending order every dominating vector comes before, and a tree of trees
+    over the ranks of the other two objectives knows the highest front so far.
+    """
+    second = np.unique(-matrix[:, 1], return_inverse=True)[1] + 1
+    third = np.unique(-matrix[:, 2], return_inverse=True)[1] + 1
+    rows = int(second.max(initial=0)) + 1
+    trees: list[dict[int, int]] = [{} for _ in range(rows)]
+    columns = int(third.max(initial=0)) + 1
+    front = np.zeros(len(matrix), np.int64)
+    for at in np.lexsort((-matrix[:, 2], -matrix[:, 1], -matrix[:, 0])):
+        i, j = int(second[at]), int(third[at])
+        best, x = 0, i
+        while x:
+            tree, y = trees[x], j
+            while y:
+                value = tree.get(y, 0)
+                if value > best:
+                    best = value
+                y &= y - 1
+            x &= x - 1
+        front[at] = best
+        best += 1
+        x = i
+        while x < rows:
+            tree, y = trees[x], j
+            while y < columns:
+                if tree.get(y, 0) < best:
+                    tree[y] = best
+                y += y & -y
+            x += x & -x
+    return front
+
+
 def _peeled(matrix: np.ndarray, margin: float) -> np.ndarray:
     """Front of each vector, -1 for those in or behind a cycle."""
     n = len(matrix)
@@ -101,13 +166,16 @@ def fronts(df: DataFrame, objectives: list[str], margin: float = 0.0, one_task:
     front by front with joins. No row is lost.
     """
     distinct = written(points(df, objectives), "points")
-    if distinct.count() <= one_task:
+    n = distinct.count()
+    quick = not margin and len(objectives) == 3 and one_task > 1
+    if n <= (max(one_task, CHAINED) if quick else one_task):
 
         def sort(batches):
             frames = list(batches)
             if frames:
                 frame = pd.concat(frames, ignore_index=True)
-                yield frame.assign(front=_peeled(frame[objectives].to_numpy(float), margin))
+                matrix = frame[objectives].to_numpy(float)
+                yield frame.assign(front=_chained(matrix) if quick else _peeled(matrix, margin))
 
         found = distinct.coalesce(1).mapInPandas(sort, ", ".join(f"{o} double" for o in objectives) + ", front int").where("front >= 0")
         return df.join(found, objectives, "left")
