@@ -88,14 +88,17 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def same_look(documents: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b) of documents with different characters and one form, the smaller id first.
 
-    Only forms with several different texts take part in the join, so that a
-    group of equal texts, however large, pairs nothing within itself.
+    The different texts of a form are paired first, and only then joined with
+    their documents, so that work follows the result: a group of equal texts,
+    however large, pairs nothing within itself.
     """
     rows = canonical(documents).select("doc_id", F.xxhash64("raw").alias("raw"), F.sha2("form", 256).alias("form")).distinct()
-    mixed = rows.groupBy("form").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low <> high").select("form")
-    some = rows.join(mixed, "form")
-    left, right = (some.select("form", F.col("doc_id").alias(f"doc_id_{n}"), F.col("raw").alias(f"raw_{n}")) for n in "ab")
-    return left.join(right, "form").where("doc_id_a < doc_id_b and raw_a <> raw_b").select("doc_id_a", "doc_id_b").distinct()
+    texts = rows.select("form", "raw").distinct()
+    one, two = (texts.select("form", F.col("raw").alias(f"raw_{n}")) for n in "ab")
+    pairs = one.join(two, "form").where("raw_a < raw_b").select("raw_a", "raw_b")
+    left, right = (rows.select(F.col("raw").alias(f"raw_{n}"), F.col("doc_id").alias(f"doc_{n}")) for n in "ab")
+    both = pairs.join(left, "raw_a").join(right, "raw_b").where("doc_a <> doc_b")
+    return both.select(F.least("doc_a", "doc_b").alias("doc_id_a"), F.greatest("doc_a", "doc_b").alias("doc_id_b")).distinct()
 
 
 def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
