@@ -158,6 +158,26 @@ def acc(df: DataFrame, lags: int = 5, table: dict[str, tuple[int, ...]] | None =
     return df.where("sequence is not null").select("id", terms("sequence").alias("terms"))
 
 
+def pooled(df: DataFrame, by: list[str], vector: str = "vec", modes: tuple[str, ...] = ("mean", "max")) -> DataFrame:
+    """Mean and maximum of the vectors of each group, place by place; rows with a null vector count nowhere."""
+    flat = df.where(F.col(vector).isNotNull()).select(*by, F.posexplode(vector).alias("dim", "x"))
+    kinds = {"mean": F.avg("x"), "max": F.max("x")}
+    return flat.groupBy(*by, "dim").agg(*[kinds[m].alias(m) for m in modes])
+
+
+def cosine(a: str, b: str) -> Column:
+    """Cosine of two array columns; null where one has norm 0."""
+    dot = lambda x, y: F.expr(f"aggregate(zip_with({x}, {y}, (p, q) -> CAST(p AS DOUBLE) * q), 0D, (s, v) -> s + v)")
+    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(norm > 0, dot(a, b) / norm)
+
+
+def quantised(vector: str) -> Column:
+    """Values of an array on a grid of 127 steps to its largest magnitude."""
+    step = f"(aggregate({vector}, 0D, (s, v) -> greatest(s, abs(CAST(v AS DOUBLE)))) / 127)"
+    return F.expr(f"transform({vector}, v -> CASE WHEN {step} > 0 THEN floor(v / {step} + 0.5D) * {step} ELSE 0D END)")
+
+
 # Names and upper bounds of the four systems of length bins.
 LENGTH_BINS = {
     "screening": (("< 15 aa", 14), ("15-50 aa", 50), ("50-200 aa", 200), ("200-500 aa", 500), ("> 500 aa", None)),

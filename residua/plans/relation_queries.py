@@ -224,6 +224,44 @@ def q_shift_auroc(spark, sf_dir):
     return metrics.ranking(models.shifted(rows.where("source like '%toxin%'"), rows.where("source not like '%toxin%'")))
 
 
+def q_hybrid(spark, sf_dir):
+    """Allergenicity score with the floor that a regulatory short match sets, and what decided."""
+    hits = q_short_matches(spark, sf_dir).select("id", F.lit(True).alias("hit"))
+    rows = scoring.scored(peptides(spark, sf_dir)).select("id", "alg").join(hits, "id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    score = F.when(F.col("hit"), F.greatest("alg", F.lit(0.85))).otherwise(F.col("alg"))
+    tier = F.when(F.col("hit"), "high_risk").when(F.col("alg") >= 0.5, "moderate_risk").otherwise("low_risk")
+    return rows.select("id", "hit", score.alias("hazard"), tier.alias("tier"), F.when(F.col("hit"), "who_fao_short_match").otherwise("ml_only").alias("basis"))
+
+
+def q_review_sample(spark, sf_dir):
+    """The 15 highest toxicity scores and a sample of two fifths as many of the others, by digest."""
+    rows = metrics.ranked(scoring.scored(peptides(spark, sf_dir)).select("id", "tox"), [F.desc("tox"), F.col("id")])
+    rows = written(rows, "ranked")
+    top = rows.where("rank <= 15").select("id", F.lit("lead").alias("stratum"))
+    rest = rows.where("rank > 15").orderBy(F.md5("id"), "id").limit(6).select("id", F.lit("sample"))
+    return top.union(rest)
+
+
+def q_temporal_split(spark, sf_dir):
+    """Records and positives before and from the median year of deposit, per side; unknown years apart."""
+    rows = table(spark, sf_dir, "provenance_records").where("seq_id is not null").groupBy("seq_id").agg(F.max("label").alias("label"), F.min("deposit_date").alias("d"))
+    rows = rows.withColumn("year", F.expr("try_cast(nullif(regexp_extract(d, '((19|20)[0-9]{2})', 1), '') AS INT)"))
+    middle = rows.agg(F.expr("floor(percentile(year, 0.5))").alias("m"))
+    side = F.when(F.col("year").isNull(), "unknown").when(F.col("year") < F.col("m"), "before").otherwise("from")
+    return rows.crossJoin(F.broadcast(middle)).groupBy(side.alias("side")).agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("positives"), F.coalesce(F.min("year"), F.lit(0)).alias("first_year"), F.coalesce(F.max("year"), F.lit(0)).alias("last_year"))  # one row
+
+
+def q_pooled(spark, sf_dir):
+    rows = features.pooled(_vectors(spark, sf_dir), ["label"])
+    return rows.select("label", F.col("dim").cast("int").alias("dim"), F.expr("floor(mean * 10000 + 0.5D) / 10000").alias("mean"), F.col("max").cast("double").alias("highest"))
+
+
+def q_quantised_parity(spark, sf_dir):
+    """Cosine of each vector with its quantised form."""
+    rows = _vectors(spark, sf_dir).withColumn("q", features.quantised("vec"))
+    return rows.select("id", features.cosine("vec", "q").alias("c")).select("id", F.expr("floor(c * 10000 + 0.5D) / 10000").alias("cosine"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")}
 
 _EV = "CASE label_evidence " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in curation.EVIDENCE.items()) + " ELSE 10 END"
@@ -262,6 +300,10 @@ nm AS (SELECT root, size, row_number() OVER (ORDER BY size DESC, first_id) - 1 A
 r AS (SELECT DISTINCT p.id AS rid, p.accession AS rgrp, substr(p.sequence, i::BIGINT, 6) AS w FROM pep p, unnest(generate_series(1, p.len - 5)) AS u(i) WHERE p.label = 1 AND p.source LIKE '%allergen%'),
 h AS (SELECT q.id, q.w AS kmer, q.pos, r.rid, row_number() OVER (PARTITION BY q.id ORDER BY q.pos, r.rid) AS k FROM q JOIN r ON r.w = q.w AND r.rid <> q.id AND NOT coalesce(r.rgrp = q.grp, false))
 SELECT id, kmer, pos::INT AS position, rid AS reference_id FROM h WHERE k = 1""",
+    "q_review_sample": f"{WITH}, {scoring.SCORED_SQL}, o AS (SELECT id, row_number() OVER (ORDER BY tox DESC, id) AS r FROM scored), s AS (SELECT id, row_number() OVER (ORDER BY md5(id), id) AS k FROM o WHERE r > 15) SELECT id, 'lead' AS stratum FROM o WHERE r <= 15 UNION ALL SELECT id, 'sample' FROM s WHERE k <= 6",
+    "q_temporal_split": "WITH p AS (SELECT seq_id, max(label) AS label, min(deposit_date) AS d FROM provenance_records WHERE seq_id IS NOT NULL GROUP BY 1), y AS (SELECT *, TRY_CAST(nullif(regexp_extract(d, '((19|20)[0-9]{2})', 1), '') AS INT) AS year FROM p), m AS (SELECT floor(quantile_cont(year, 0.5)) AS m FROM y) SELECT CASE WHEN year IS NULL THEN 'unknown' WHEN year < m THEN 'before' ELSE 'from' END AS side, count(*) AS n, count(*) FILTER (label = 1) AS positives, coalesce(min(year), 0) AS first_year, coalesce(max(year), 0) AS last_year FROM y, m GROUP BY 1",
+    "q_pooled": "WITH p AS (SELECT label, (i - 1)::INT AS dim, embedding[i]::DOUBLE AS x FROM embeddings, unnest(generate_series(1, len(embedding))) AS u(i)), g AS (SELECT label, dim, avg(x) AS mean, max(x) AS highest FROM p GROUP BY 1, 2) SELECT label, dim, floor(mean * 10000 + 0.5) / 10000 AS mean, highest FROM g",
+    "q_quantised_parity": "WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT id, e, list_max(list_transform(e, lambda x: abs(x))) / 127 AS st FROM v), q AS (SELECT id, e, list_transform(e, lambda x: floor(x / st + 0.5) * st) AS q FROM s), c AS (SELECT id, list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))) AS c FROM q) SELECT id, floor(c * 10000 + 0.5) / 10000 AS cosine FROM c",
     "q_front_zero": f"{_OBJ} SELECT * FROM ob b WHERE NOT EXISTS (SELECT 1 FROM ob a WHERE a.ant >= b.ant AND a.safe_tox >= b.safe_tox AND a.safe_alg >= b.safe_alg AND (a.ant > b.ant OR a.safe_tox > b.safe_tox OR a.safe_alg > b.safe_alg))",
     "q_dominance": f"{_OBJ} SELECT b.id, count(a.id) AS dominated_by FROM ob b LEFT JOIN ob a ON a.ant - b.ant >= -0.0205 AND a.safe_tox - b.safe_tox >= -0.0205 AND a.safe_alg - b.safe_alg >= -0.0205 AND (a.ant - b.ant > 0.0205 OR a.safe_tox - b.safe_tox > 0.0205 OR a.safe_alg - b.safe_alg > 0.0205) GROUP BY b.id",
     "q_nearest": f"WITH {_VEC} SELECT id, rank::INT AS rank, floor(cosine * 10000 + 0.5) / 10000 AS cosine FROM k WHERE rank <= 5",
@@ -281,3 +323,9 @@ SELECT fold::INT AS fold, partition, count(*) AS n, count(DISTINCT grp) AS group
     "q_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY 1, 2) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id",
     "q_red_runs": "WITH d AS (SELECT CAST(ts AS DATE) AS day, avg(value) AS m FROM events GROUP BY 1), r AS (SELECT day FROM d WHERE m > (SELECT avg(value) FROM events)), k AS (SELECT day, day - (row_number() OVER (ORDER BY day))::INT AS g FROM r) SELECT min(day) AS first_day, count(*) AS days FROM k GROUP BY g HAVING count(*) >= 3",
 }
+
+_MATCH = ORACLE["q_short_matches"]
+ORACLE["q_hybrid"] = f"""{WITH}, {scoring.SCORED_SQL}, hits AS (SELECT id FROM ({_MATCH}))
+SELECT s.id, h.id IS NOT NULL AS hit, CASE WHEN h.id IS NOT NULL THEN greatest(alg, 0.85) ELSE alg END AS hazard,
+CASE WHEN h.id IS NOT NULL THEN 'high_risk' WHEN alg >= 0.5 THEN 'moderate_risk' ELSE 'low_risk' END AS tier,
+CASE WHEN h.id IS NOT NULL THEN 'who_fao_short_match' ELSE 'ml_only' END AS basis FROM scored s LEFT JOIN hits h USING (id)"""
