@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from residua.session import written
+
 # Letters of other alphabets and phonetic letters that are drawn like a Latin letter.
 LOOKALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
@@ -92,7 +94,7 @@ def same_look(documents: DataFrame) -> DataFrame:
     their documents, so that work follows the result: a group of equal texts,
     however large, pairs nothing within itself.
     """
-    rows = canonical(documents).select("doc_id", F.xxhash64("raw").alias("raw"), F.sha2("form", 256).alias("form")).distinct()
+    rows = written(canonical(documents).select("doc_id", F.xxhash64("raw").alias("raw"), F.sha2("form", 256).alias("form")).distinct(), "forms")
     texts = rows.select("form", "raw").distinct()
     one, two = (texts.select("form", F.col("raw").alias(f"raw_{n}")) for n in "ab")
     pairs = one.join(two, "form").where("raw_a < raw_b").select("raw_a", "raw_b")
