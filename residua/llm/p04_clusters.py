@@ -10,8 +10,8 @@ each cluster's medoid is the member with the largest sum of similarities.
 Clusters with alike members merge into the connected sets of ``p4_found``.
 
 Texts linked by seeds form shards. A shard of up to ``SHARD`` texts is compared
-and clustered where its texts lie; larger ones are compared pair by pair and go
-through the same rounds as joins over the whole cluster.
+and clustered where its texts lie; of larger ones the pairs that share a seed are
+compared and go through the same rounds as joins over the whole cluster.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from residua.llm.forests import FOREST, components, spanning
 from residua.llm.packets import Texts, delivered, exchange, mixed, runs
-from residua.llm.sketches import ENTRY, grams, keys_of, seeding, seeds, shared_seeds
+from residua.llm.sketches import ENTRY, grams, keys_of, seeding, shared_seeds
 from residua.session import written
 
 WINDOW, SHARE, LEAST = 3, (1, 4), 30
@@ -33,51 +33,85 @@ WINDOW, SHARE, LEAST = 3, (1, 4), 30
 SEED, SEEDS = 8, 48
 #: Texts in a shard that one task clusters.
 SHARD = 5_000
-#: A seed that more texts than this share (16 times as many inside a shard) pairs
-#: them with its PIVOTS first texts only; two of its texts meet by other seeds.
-DENSE, PIVOTS = 64, 32
+#: Texts of a shard that are compared pair by pair; also the texts that share a
+#: seed up to which their pairs are listed. More are compared block against block.
+DENSE = 64
+#: Texts in such a block.
+BLOCK = 2_000
 
 PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
 PAIRS = "a long, b long"
+ALIKE = PAIRS + ", similarity double"
 
 
-def run_pairs(sid: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int = DENSE) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within runs of distinct sids, vectorised by distance within the run."""
+def run_pairs(sid: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within runs of distinct sids, vectorised by distance within the run."""
     size = end - begin
-    dense = size > most
+    begin, size = begin[size > 1], size[size > 1]
     a, b = [], []
-    begin_, size_ = begin[~dense & (size > 1)], size[~dense & (size > 1)]
     gap = 1
-    while len(begin_):
-        count = size_ - gap
-        place = np.repeat(begin_ - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    while len(begin):
+        count = size - gap
+        place = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
         a.append(sid[place])
         b.append(sid[place + gap])
         gap += 1
-        begin_, size_ = begin_[size_ > gap], size_[size_ > gap]
-    for start, stop in zip(begin[dense], end[dense]):
-        members = sid[start:stop]
-        members = members[np.argsort(mixed(members.view(np.uint64)))]
-        for i in range(min(PIVOTS, len(members))):
-            a.append(np.full(len(members) - i - 1, members[i]))
-            b.append(members[i + 1 :])
+        begin, size = begin[size > gap], size[size > gap]
     if not a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b = np.concatenate(a), np.concatenate(b)
     return np.minimum(a, b), np.maximum(a, b)
 
 
+def all_alike(texts: list[str], share: tuple[int, int], window: int, home: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, similarity) of all pairs x < y of places of alike texts.
+
+    With ``home``, x is one of the first ``home`` texts and y one of the rest.
+    The texts of every window are listed and counted, so that no pair is left out.
+    """
+    up, down = share
+    text, _, value = Texts(pa.array(texts, pa.string())).windows(window)
+    names, gram = np.unique(value, return_inverse=True)
+    held = np.unique(text * len(names) + gram)
+    text, gram = held // max(len(names), 1), held % max(len(names), 1)
+    size = np.bincount(text, minlength=len(texts))
+    first = np.r_[0, np.cumsum(size)]
+    lists = np.split(text[np.argsort(gram, kind="stable")], np.cumsum(np.bincount(gram, minlength=len(names)))[:-1])
+    a, b, s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for x in range(len(texts) if home is None else home):
+        own = gram[first[x] : first[x + 1]]
+        common = np.zeros(len(texts), np.int64)
+        for i in range(0, len(own), 256):
+            common += np.bincount(np.concatenate([lists[g] for g in own[i : i + 256]]), minlength=len(texts))
+        beyond = x + 1 if home is None else home
+        common = common[beyond:]
+        either = size[x] + size[beyond:] - common
+        y = np.flatnonzero((common > 0) & (common * down >= either * up))
+        a.append(np.full(len(y), x))
+        b.append(y + beyond)
+        s.append(common[y] / either[y])
+    return np.concatenate(a), np.concatenate(b), np.concatenate(s)
+
+
+MET = PAIRS + ", dense boolean"
+
+
 def _met(part: int, entries: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Pairs of texts that share a seed at this destination."""
+    """Pairs of texts that share a seed at this destination; of a dense seed the pairs with its first text."""
     key, sid = keys_of(entries), entries["sid"]
     order = np.lexsort((sid, key))
     key, sid = key[order], np.ascontiguousarray(sid[order])
     fresh = np.r_[True, (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])]
     key, sid = key[fresh], sid[fresh]
-    a, b = run_pairs(sid, *runs(key))
-    pair = np.unique(np.stack([a, b], 1), axis=0)
-    for i in range(0, len(pair), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(pair[i : i + 100_000, 0]), pa.array(pair[i : i + 100_000, 1])], ["a", "b"])
+    begin, end = runs(key)
+    dense = end - begin > DENSE
+    head = np.repeat(sid[begin], end - begin)
+    star = np.repeat(dense, end - begin) & (head != sid)
+    for crowded, (a, b) in ((False, run_pairs(sid, begin[~dense], end[~dense])), (True, (head[star], sid[star]))):
+        pair = np.unique(np.stack([a, b], 1), axis=0)
+        for i in range(0, len(pair), 100_000):
+            some = pair[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some[:, 0]), pa.array(some[:, 1]), pa.array(np.full(len(some), crowded))], ["a", "b", "dense"])
 
 
 def _send_pairs(batches):
@@ -121,14 +155,61 @@ def _compared(share: tuple[int, int], window: int):
     return compare
 
 
-def alike(text: DataFrame, share: tuple[int, int] = SHARE, window: int = WINDOW) -> DataFrame:
-    """(a, b, similarity) of the texts (sid, residues) that are alike, a < b, pair by pair."""
-    met = exchange(text, seeding(SEED, SEEDS), ENTRY, _met, PAIRS)
-    pairs = exchange(met, _send_pairs, PAIR, _unique_pairs, PAIRS)
+def _alike_rows(sid: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: np.ndarray) -> Iterator[pa.RecordBatch]:
+    a, b = np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y])
+    for i in range(0, len(a), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in (a, b, similarity)], ["a", "b", "similarity"])
+
+
+def _blocks_met(share: tuple[int, int], window: int, give):
+    """Rows (crowd, i, j, visits, sid, residues), sorted, to what ``give`` makes of the alike pairs of each pair of blocks."""
+
+    def work(batches):
+        now, sid, texts, home = None, [], [], 0
+
+        def met():
+            return give(np.array(sid, np.int64), *all_alike(texts, share, window, None if now[1] == now[2] else home))
+
+        for batch in batches:
+            for crowd, i, j, visits, one, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (crowd, i, j) != now:
+                    if sid:
+                        yield from met()
+                    now, sid, texts, home = (crowd, i, j), [], [], 0
+                sid.append(one)
+                texts.append(text)
+                home += not visits
+        if sid:
+            yield from met()
+
+    return work
+
+
+def crowded(texts: DataFrame, share: tuple[int, int], window: int, give, schema: str, block: int = BLOCK) -> DataFrame:
+    """All pairs of distinct texts (crowd, sid, residues) within a crowd, each pair of blocks in one group of rows."""
+    size = texts.groupBy("crowd").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = texts.join(size, "crowd").withColumn("own", F.pmod(F.xxhash64("sid", F.lit(29)), F.col("blocks")).cast("int"))
+    sent = own.select("crowd", "own", "sid", "residues", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    sent = sent.select("crowd", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("visits"), "sid", "residues")
+    return sent.repartition("crowd", "i", "j").sortWithinPartitions("crowd", "i", "j", "visits", "sid").mapInArrow(_blocks_met(share, window, give), schema)
+
+
+def alike(text: DataFrame, share: tuple[int, int] = SHARE, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """(a, b, similarity) of the texts (sid, residues) that share a seed and are alike, a < b.
+
+    Texts linked by dense seeds are a crowd and compared all with all, the others pair by pair.
+    """
+    met = written(exchange(text, seeding(SEED, SEEDS), ENTRY, _met, MET), "met")
+    pairs = exchange(met.where("not dense").select("a", "b"), _send_pairs, PAIR, _unique_pairs, PAIRS)
     once = text.distinct()
     placed = pairs.join(once.select(F.col("sid").alias("a"), F.col("residues").alias("one")), "a")
     placed = placed.join(once.select(F.col("sid").alias("b"), F.col("residues").alias("two")), "b")
-    return placed.select("a", "b", "one", "two").mapInArrow(_compared(share, window), PAIRS + ", similarity double")
+    found = placed.select("a", "b", "one", "two").mapInArrow(_compared(share, window), ALIKE)
+    dense = met.where("dense").select("a", "b")
+    if not dense.take(1):
+        return found
+    crowd = components(dense).select(F.col("node").alias("sid"), F.col("root").alias("crowd"))
+    return found.union(crowded(once.join(crowd, "sid").select("crowd", "sid", "residues"), share, window, _alike_rows, ALIKE, block)).distinct()
 
 
 CLUSTERED = "sid long, pivot long, root long, weight double"
@@ -137,19 +218,14 @@ CLUSTERED = "sid long, pivot long, root long, weight double"
 def _clustered(shard: np.ndarray, sid: np.ndarray, texts: list[str], share: tuple[int, int], window: int) -> Iterator[pa.RecordBatch]:
     """Pivot clustering of the texts of whole shards; texts without an alike one are left out.
 
-    In shards of up to DENSE texts every text is compared with every other, in
-    larger ones with those that share a seed.
+    Every text of a shard is compared with every other; in shards of over DENSE
+    texts by the lists of their windows.
     """
     up, down = share
     begin, end = runs(shard)
     small = end - begin <= DENSE
     a, b = run_pairs(np.arange(len(sid)), begin[small], end[small])
-    if not small.all():
-        rest = np.flatnonzero(np.repeat(~small, end - begin))
-        text, key = seeds(Texts(pa.array([texts[i] for i in rest], pa.string())), SEED, SEEDS)
-        order = np.argsort(key, kind="stable")
-        c, d = run_pairs(rest[text[order]], *runs(key[order]), most=16 * DENSE)
-        a, b = np.r_[a, c], np.r_[b, d]
+    listed = [(x + start, y + start, s) for start, stop in zip(begin[~small], end[~small]) for x, y, s in [all_alike(texts[start:stop], share, window)]]
     pair = np.unique(a * len(texts) + b)
     value: dict[int, frozenset] = {}
     edges = []
@@ -165,9 +241,11 @@ def _clustered(shard: np.ndarray, sid: np.ndarray, texts: list[str], share: tupl
         either = len(one) + len(two) - common
         if common and common * down >= either * up:
             edges.append((x, y, common / either))
-    if not edges:
+    if edges:
+        listed.append(tuple(np.array(c) for c in zip(*edges)))
+    if not sum(len(x) for x, _, _ in listed):
         return
-    a, b, similarity = (np.array(c) for c in zip(*edges))
+    a, b, similarity = (np.concatenate(c) for c in zip(*listed))
     u, v, s = np.r_[a, b], np.r_[b, a], np.r_[similarity, similarity]
     turn = np.empty(len(sid), np.int64)
     turn[np.lexsort((sid, mixed(sid.view(np.uint64))))] = np.arange(len(sid))

@@ -227,6 +227,27 @@ def test_clusters(spark, shard):
     assert beside == 0 if shard > 1 else beside <= 2  # pair by pair, a link that no seed shows is not seen
 
 
+def tagged_rows(count=1300):
+    """Texts with one tag of 40 residues; two and two are alike, by windows too short for a seed outside the tag."""
+    rng = random.Random(23)
+    tag, rows = random_text(rng, 40), []
+    for k in range(count):
+        body = random_text(rng, 104)
+        other = "".join(LETTERS[(LETTERS.index(c) + 7) % 20] if i % 8 == 7 else c for i, c in enumerate(body))
+        rows += [(f"T{k:04d}a", tag + body, 1, 2, "zz", 3), (f"T{k:04d}b", tag + other, 1, 2, "zz", 3)]
+    return rows
+
+
+@pytest.mark.parametrize("shard", [5_000, 1])
+def test_families_inside_a_dense_one(spark, shard):
+    df = spark.createDataFrame(tagged_rows(), RECORD)
+    sid = {r.sid: r.seq_id for r in p1.delivered(df, 30).collect()}
+    by_root = {}
+    for r in p4.clustered(df, shard=shard).collect():
+        by_root.setdefault(r.root, set()).add(sid[r.sid])
+    assert sorted(map(sorted, by_root.values())) == [[f"T{k:04d}a", f"T{k:04d}b"] for k in range(1300)]
+
+
 def test_placement_meets_proportions():
     rng = np.random.default_rng(1)
     size = rng.integers(1, 8, 4000)
