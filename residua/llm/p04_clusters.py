@@ -161,6 +161,15 @@ def _alike_rows(sid: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: np.nd
         yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in (a, b, similarity)], ["a", "b", "similarity"])
 
 
+def _weight_rows(sid: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sum of each text's similarities to those it meets."""
+    if not len(x):
+        return
+    part = np.bincount(np.r_[x, y], np.r_[similarity, similarity], len(sid))
+    some = np.unique(np.r_[x, y])
+    yield pa.RecordBatch.from_arrays([pa.array(sid[some]), pa.array(part[some])], ["node", "part"])
+
+
 def _blocks_met(share: tuple[int, int], window: int, give):
     """Rows (crowd, i, j, visits, sid, residues), sorted, to what ``give`` makes of the alike pairs of each pair of blocks."""
 
@@ -316,18 +325,22 @@ def clustered(records: DataFrame, share: tuple[int, int] = SHARE, window: int =
     out = small.repartition("shard").sortWithinPartitions("shard", "sid").mapInArrow(_in_shards(share, window), CLUSTERED)
     if large.take(1):
         rest = placed.join(large.withColumnRenamed("root", "shard"), "shard", "left_semi").select("sid", "residues")
-        out = out.union(_joined(written(alike(written(rest.distinct(), "texts"), share, window), "alike")))
+        rest = written(rest.distinct(), "texts")
+        out = out.union(_joined(written(alike(rest, share, window), "alike"), rest, share, window))
     return out
 
 
-def _joined(edges: DataFrame) -> DataFrame:
-    """``clustered`` rows for an edge table (a, b, similarity)."""
+def _joined(edges: DataFrame, text: DataFrame, share: tuple[int, int], window: int) -> DataFrame:
+    """``clustered`` rows for an edge table (a, b, similarity) of the texts (sid, residues).
+
+    Weights are sums over all pairs of a cluster, whether or not a seed shows them.
+    """
     cluster = written(pivoted(edges), "clusters")
     one, two = (cluster.select(F.col("node").alias(n), F.col("pivot").alias(f"{n}_pivot")) for n in ("a", "b"))
     joined = written(edges.join(one, "a").join(two, "b"), "joined")
     merged = components(joined.where("a_pivot <> b_pivot").select("a_pivot", "b_pivot").distinct())
-    inside = joined.where("a_pivot = b_pivot")
-    weight = inside.select(F.col("a").alias("node"), "similarity").union(inside.select("b", "similarity")).groupBy("node").agg(F.sum("similarity").alias("weight"))
+    member = text.join(cluster.select(F.col("node").alias("sid"), F.col("pivot").alias("crowd")), "sid").select("crowd", "sid", "residues")
+    weight = crowded(member, share, window, _weight_rows, "node long, part double").groupBy("node").agg(F.sum("part").alias("weight"))
     label = cluster.join(merged.withColumnRenamed("node", "pivot"), "pivot", "left").join(weight, "node", "left")
     return label.select(F.col("node").alias("sid"), "pivot", F.coalesce("root", "pivot").alias("root"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
 

@@ -248,6 +248,26 @@ def test_families_inside_a_dense_one(spark, shard):
     assert sorted(map(sorted, by_root.values())) == [[f"T{k:04d}a", f"T{k:04d}b"] for k in range(1300)]
 
 
+@pytest.mark.parametrize("shard", [5_000, 1])
+def test_weights_count_all_alike_members(spark, shard):
+    """Two of three texts share their windows of 8 with the first only, yet are alike."""
+    rng = random.Random(29)
+    texts = {}
+    for k in range(24):
+        base = random_text(rng, 112)
+        other = "".join(LETTERS[(LETTERS.index(c) + 7) % 20] if i % 8 == 7 else c for i, c in enumerate(base))
+        texts |= {f"W{k:02d}a": base, f"W{k:02d}b": base[:56] + other[56:], f"W{k:02d}c": other[:56] + base[56:]}
+    df = spark.createDataFrame([(i, t, 1, 2, "zz", 3) for i, t in texts.items()], RECORD)
+    name = {r.sid: r.seq_id for r in p1.delivered(df, 30).collect()}
+    rows = {name[r.sid]: r for r in p4.clustered(df, shard=shard).collect()}
+    windows = {i: {t[k : k + 3] for k in range(len(t) - 2)} for i, t in texts.items()}
+    value = lambda a, b: len(windows[a] & windows[b]) / len(windows[a] | windows[b])
+    assert any(sum(q.pivot == r.pivot for q in rows.values()) == 3 for r in rows.values())
+    for i, r in rows.items():
+        beside = [value(i, j) for j, q in rows.items() if j != i and q.pivot == r.pivot]
+        assert r.weight == pytest.approx(sum(v for v in beside if v >= 0.25))
+
+
 def test_placement_meets_proportions():
     rng = np.random.default_rng(1)
     size = rng.integers(1, 8, 4000)
