@@ -86,6 +86,35 @@ def same_family(a: str, b: str, common: str, either: str, threshold: float = 0.3
     )
 
 
+def edit_pairs(text: DataFrame, below: int = 30, most: float = 0.65, block: int = 1_000) -> DataFrame:
+    """(a, b) of all texts (rep, sequence) under ``below`` residues with an edit distance of at most a share of the longer length.
+
+    Every block of texts meets every other; lengths alone rule pairs out.
+    """
+    short = written(text.where((F.length("sequence") < below) & (F.length("sequence") > 0)), "short")
+    blocks = max(1, -(-short.count() // block))
+    own = short.withColumn("own", F.pmod(F.xxhash64("rep"), F.lit(blocks)))
+    sent = own.withColumn("other", F.explode(F.expr(f"sequence(0, {blocks - 1})"))).select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "sequence")
+    home = sent.where("own = i").select("i", "j", F.col("rep").alias("x"), F.col("sequence").alias("s"))
+    visiting = sent.where("own = j").select("i", "j", F.col("rep").alias("y"), F.col("sequence").alias("t"))
+    longest = F.greatest(F.length("s"), F.length("t"))
+    fits = (F.col("x") != F.col("y")) & ((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))) & (F.abs(F.length("s") - F.length("t")) / longest <= most)
+    near = home.join(visiting, ["i", "j"]).where(fits).where(F.levenshtein("s", "t") / longest <= most)
+    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def families(df: DataFrame) -> DataFrame:
+    """(a, b) of all different texts that the homology rule puts together, a < b by representative.
+
+    The rule needs a fifth of the windows in common, save for two texts under 30
+    residues, of which the edit distance alone may decide.
+    """
+    text = written(distinct_texts(df.where("sequence is not null")), "texts")
+    one, two = (text.select(F.col("rep").alias(c), F.col("sequence").alias(f"s_{c}")) for c in "ab")
+    windows = jaccard_pairs(df, 3, (1, 5)).join(one, "a").join(two, "b").where(same_family("s_a", "s_b", "common", "either"))
+    return windows.select("a", "b").union(edit_pairs(text)).distinct()
+
+
 def short_matches(queries: DataFrame, reference: DataFrame, k: int = 6) -> DataFrame:
     """(id, kmer, position, reference_id): the first window of a query that a reference holds.
 

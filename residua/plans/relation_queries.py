@@ -50,7 +50,7 @@ def q_homology_clusters(spark, sf_dir):
 
 
 def q_family_rule(spark, sf_dir):
-    """The homology rule on all pairs of texts with a fifth of their windows in common."""
+    """The homology rule on all pairs of texts with a fifth of their windows in common; ``q_family_pairs`` is the whole rule."""
     rows = peptides(spark, sf_dir)
     pairs = similarity.jaccard_pairs(rows, 3, (1, 5))
     text = similarity.distinct_texts(rows)
@@ -58,6 +58,11 @@ def q_family_rule(spark, sf_dir):
     return both.select("a", "b", similarity.same_family("s_a", "s_b", "common", "either").alias("same"))
 
 
+def q_family_pairs(spark, sf_dir):
+    """All pairs of texts that the homology rule puts together, with or without common windows."""
+    return similarity.families(peptides(spark, sf_dir))
+
+
 def q_alignment_identity(spark, sf_dir):
     """Global alignment identity of all pairs with a fifth of their windows in common."""
     rows = peptides(spark, sf_dir)
@@ -324,6 +329,11 @@ SELECT fold::INT AS fold, partition, count(*) AS n, count(DISTINCT grp) AS group
     "q_red_runs": "WITH d AS (SELECT CAST(ts AS DATE) AS day, avg(value) AS m FROM events GROUP BY 1), r AS (SELECT day FROM d WHERE m > (SELECT avg(value) FROM events)), k AS (SELECT day, day - (row_number() OVER (ORDER BY day))::INT AS g FROM r) SELECT min(day) AS first_day, count(*) AS days FROM k GROUP BY g HAVING count(*) >= 3",
 }
 
+_FAMILY = f"""{_J3}, sh AS (SELECT * FROM txt WHERE length(sequence) < 30), both_texts AS (SELECT a.rep AS a, b.rep AS b, a.sequence AS s, b.sequence AS t, common::DOUBLE / either AS jac FROM j JOIN txt a ON a.rep = j.a JOIN txt b ON b.rep = j.b WHERE 5 * common >= either
+UNION ALL SELECT a.rep, b.rep, a.sequence, b.sequence, 0 FROM sh a JOIN sh b ON a.rep < b.rep),
+fm AS (SELECT *, greatest(length(s), length(t)) AS longest, least(length(s), length(t)) AS shortest, levenshtein(s, t)::DOUBLE / greatest(length(s), length(t)) AS edit FROM both_texts),
+fp AS (SELECT DISTINCT a, b FROM fm WHERE NOT (longest > 30 AND shortest::DOUBLE / longest < 0.4) AND CASE WHEN longest < 30 THEN edit <= 1 - 0.35 OR jac >= 0.30 ELSE jac >= 0.35 OR (jac >= 0.20 AND longest <= 120 AND 1 - edit >= 0.35) END)"""
+ORACLE["q_family_pairs"] = f"{WITH}, {_FAMILY} SELECT a, b FROM fp"
 _MATCH = ORACLE["q_short_matches"]
 ORACLE["q_hybrid"] = f"""{WITH}, {scoring.SCORED_SQL}, hits AS (SELECT id FROM ({_MATCH}))
 SELECT s.id, h.id IS NOT NULL AS hit, CASE WHEN h.id IS NOT NULL THEN greatest(alg, 0.85) ELSE alg END AS hazard,

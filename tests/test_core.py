@@ -258,6 +258,27 @@ def test_short_match_takes_first_window(spark):
     assert got == [("q", "KLMNPQ", 11, "r2")]
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_short_texts_are_a_family_by_edits_alone(spark):
+    texts = random_texts(60, 31, 6, 34)
+    text = {f"r{i:02d}": t for i, t in enumerate(sorted(set(texts)))}
+    df = spark.createDataFrame(list(text.items()), "rep string, sequence string")
+    want = {(a, b) for a in text for b in text if a < b and max(len(text[a]), len(text[b])) < 30 and edits(text[a], text[b]) <= 0.65 * max(len(text[a]), len(text[b])) + 1e-9}
+    assert want
+    for block in (1_000, 9):
+        assert sorted(map(tuple, similarity.edit_pairs(df, block=block).collect())) == sorted(want)
+    found = {tuple(r) for r in similarity.families(df.withColumnRenamed("rep", "id")).collect()}
+    assert want <= found
+
+
 def test_length_match_uses_each_candidate_once(spark):
     pos, neg = seqs(spark, random_texts(40, 20, 10, 40)), seqs(spark, random_texts(60, 21, 10, 40))
     rows = similarity.length_matched(pos, neg).collect()
