@@ -41,7 +41,7 @@ def q_jaccard_pairs(spark, sf_dir):
 
 
 def q_homology_clusters(spark, sf_dir):
-    """Clusters of all records by window similarity of 0.35, copies included."""
+    """Clusters of all records by window similarity of 0.35, copies included; ``q_family_clusters`` goes by the whole rule."""
     rows = peptides(spark, sf_dir)
     rep = similarity.distinct_texts(rows)
     copies = rows.join(rep, "sequence").where("id <> rep").select("id", "rep")
@@ -49,6 +49,14 @@ def q_homology_clusters(spark, sf_dir):
     return graph.named(graph.connected(edges), rows)
 
 
+def q_family_clusters(spark, sf_dir):
+    """Clusters of all records by the whole homology rule, copies included."""
+    rows = peptides(spark, sf_dir)
+    rep = similarity.distinct_texts(rows)
+    copies = rows.join(rep, "sequence").where("id <> rep").select("id", "rep")
+    return graph.named(graph.connected(q_family_pairs(spark, sf_dir).union(copies)), rows)
+
+
 def q_family_rule(spark, sf_dir):
     """The homology rule on all pairs of texts with a fifth of their windows in common; ``q_family_pairs`` is the whole rule."""
     rows = peptides(spark, sf_dir)
@@ -334,6 +342,11 @@ UNION ALL SELECT a.rep, b.rep, a.sequence, b.sequence, 0 FROM sh a JOIN sh b ON
 fm AS (SELECT *, greatest(length(s), length(t)) AS longest, least(length(s), length(t)) AS shortest, levenshtein(s, t)::DOUBLE / greatest(length(s), length(t)) AS edit FROM both_texts),
 fp AS (SELECT DISTINCT a, b FROM fm WHERE NOT (longest > 30 AND shortest::DOUBLE / longest < 0.4) AND CASE WHEN longest < 30 THEN edit <= 1 - 0.35 OR jac >= 0.30 ELSE jac >= 0.35 OR (jac >= 0.20 AND longest <= 120 AND 1 - edit >= 0.35) END)"""
 ORACLE["q_family_pairs"] = f"{WITH}, {_FAMILY} SELECT a, b FROM fp"
+ORACLE["q_family_clusters"] = f"""{WITH.replace('WITH', 'WITH RECURSIVE', 1)}, {_FAMILY}, ln AS (SELECT a, b FROM fp UNION SELECT b, a FROM fp),
+rc(a, b) AS (SELECT rep, rep FROM txt UNION SELECT r.a, l.b FROM rc r JOIN ln l ON l.a = r.b), lb AS (SELECT a, min(b) AS root FROM rc GROUP BY a),
+pl AS (SELECT p.id, lb.root FROM pep p JOIN txt t USING (sequence) JOIN lb ON lb.a = t.rep), sz2 AS (SELECT root, count(*) AS size, min(id) AS first_id FROM pl GROUP BY root),
+nm AS (SELECT root, size, row_number() OVER (ORDER BY size DESC, first_id) - 1 AS k FROM sz2) SELECT pl.id, printf('cluster_%04d', k) AS cluster_id, size FROM pl JOIN nm USING (root)"""
+
 _MATCH = ORACLE["q_short_matches"]
 ORACLE["q_hybrid"] = f"""{WITH}, {scoring.SCORED_SQL}, hits AS (SELECT id FROM ({_MATCH}))
 SELECT s.id, h.id IS NOT NULL AS hit, CASE WHEN h.id IS NOT NULL THEN greatest(alg, 0.85) ELSE alg END AS hazard,

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from residua.functions import features, scales, scoring
+from residua.plans import relation_queries
 from residua.operators import conformal, curation, domain, drift, epitopes, graph, metrics, models, pareto, similarity, splits
 from residua.sources import fasta, files
 from residua.streaming import windows
@@ -279,6 +280,15 @@ def test_short_texts_are_a_family_by_edits_alone(spark):
     assert want <= found
 
 
+def test_family_clusters_hold_texts_without_common_windows(spark, tmp_path):
+    rows = [("a", "ACDEFGHIKLMN"), ("b", "ACWEFWHIWLMW"), ("c", "PPQQRRSSTTVV")]
+    df = spark.createDataFrame([(i, t, None, 1, "s", None) for i, t in rows], "seq_id string, sequence string, accession string, label int, source string, organism string")
+    df.write.parquet(str(tmp_path / "provenance_records.parquet"))
+    got = {r.id: r.cluster_id for r in relation_queries.q_family_clusters(spark, str(tmp_path)).collect()}
+    old = {r.id: r.cluster_id for r in relation_queries.q_homology_clusters(spark, str(tmp_path)).collect()}
+    assert got["a"] == got["b"] != got["c"] and old["a"] != old["b"]
+
+
 def test_length_match_uses_each_candidate_once(spark):
     pos, neg = seqs(spark, random_texts(40, 20, 10, 40)), seqs(spark, random_texts(60, 21, 10, 40))
     rows = similarity.length_matched(pos, neg).collect()
