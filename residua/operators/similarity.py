@@ -239,13 +239,15 @@ def scored_pairs(pairs: DataFrame, score: str = "global") -> DataFrame:
 def length_matched(positives: DataFrame, candidates: DataFrame, tolerance: float = 0.15, identity: float = 0.30, width: int = 10) -> DataFrame:
     """(id, negative_id): each positive with a candidate of close length, no candidate twice.
 
-    Within every band of ``width`` lengths the positives are taken in the order
-    of their ids, each with the nearest free candidate of its band that is not
-    too similar place by place; bands are worked on side by side.
+    Lengths may differ by ``tolerance`` of the longer one. Within every band of
+    ``width`` lengths the positives are taken in the order of their ids, each
+    with the nearest free candidate of its band that is not too similar place by
+    place; bands are worked on side by side. What is left goes on to bands moved
+    by half and of twice the width, until one band holds all lengths: only
+    positives without an admissible free candidate stay out.
     """
-    band = F.floor(F.length("sequence") / width)
-    left = positives.select("id", "sequence", band.alias("band"))
-    right = candidates.select("id", "sequence", band.alias("band"))
+    left, right = positives.select("id", "sequence"), candidates.select("id", "sequence")
+    lengths = left.select(F.length("sequence").alias("n")).union(right.select(F.length("sequence"))).agg(F.max("n")).first()[0] or 0
 
     def match(key, pos: pd.DataFrame, neg: pd.DataFrame) -> pd.DataFrame:
         pos, neg = pos.sort_values("id"), neg.sort_values("id").reset_index(drop=True)
@@ -254,15 +256,24 @@ def length_matched(positives: DataFrame, candidates: DataFrame, tolerance: float
         out = []
         for p in pos.itertuples(index=False):
             gap = np.abs(lengths - len(p.sequence))
-            for i in np.argsort(np.where(free, gap, 10**9), kind="stable"):
-                if not free[i] or gap[i] > tolerance * len(p.sequence):
-                    break
+            able = np.flatnonzero(free & (gap <= tolerance * np.maximum(lengths, len(p.sequence))))
+            for i in able[np.argsort(gap[able], kind="stable")]:
                 other = neg.sequence[i]
-                same = sum(x == y for x, y in zip(p.sequence, other)) / max(len(p.sequence), len(other))
+                same = sum(x == y for x, y in zip(p.sequence, other)) / max(len(p.sequence), len(other), 1)
                 if same < identity:
                     free[i] = False
                     out.append((p.id, neg.id[i]))
                     break
         return pd.DataFrame(out, columns=["id", "negative_id"])
 
-    return left.groupBy("band").cogroup(right.groupBy("band")).applyInPandas(match, "id string, negative_id string")
+    found, offset = None, 0
+    while True:
+        band = F.floor((F.length("sequence") + offset) / width).alias("band")
+        met = left.select("*", band).groupBy("band").cogroup(right.select("*", band).groupBy("band")).applyInPandas(match, "id string, negative_id string")
+        met = written(met, "matched")
+        found = met if found is None else found.union(met)
+        if not offset and width > lengths:
+            return found
+        left = written(left.join(met, "id", "left_anti"), "unmatched")
+        right = written(right.join(met.select(F.col("negative_id").alias("id")), "id", "left_anti"), "free")
+        offset, width = (width // 2, width) if not offset else (0, 2 * width)

@@ -295,6 +295,12 @@ def test_length_match_uses_each_candidate_once(spark):
     assert rows and len({r.negative_id for r in rows}) == len(rows) == len({r.id for r in rows})
 
 
+def test_length_match_leaves_no_admissible_candidate(spark):
+    pos, neg = [("p1", "A" * 99), ("p2", "C" * 500)], [("n1", "D" * 104), ("n2", "E" * 440), ("n3", "F" * 200)]
+    rows = similarity.length_matched(*(spark.createDataFrame(x, "id string, sequence string") for x in (pos, neg))).collect()
+    assert {tuple(r) for r in rows} == {("p1", "n1"), ("p2", "n2")}
+
+
 def brute_fronts(points, margin):
     beats = lambda a, b: all(x - y >= -margin for x, y in zip(a, b)) and any(x - y > margin for x, y in zip(a, b))
     live, out, level = set(range(len(points))), {}, 0
