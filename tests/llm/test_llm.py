@@ -223,8 +223,29 @@ def test_clusters(spark, shard):
         assert pivots[pivot] == pivot
         assert member == pivot or (member, pivot) in alike
     chosen = sorted(set(pivots.values()))
-    beside = sum((a, b) in alike for a, b in itertools.combinations(chosen, 2))
-    assert beside == 0 if shard > 1 else beside <= 2  # pair by pair, a link that no seed shows is not seen
+    assert not any((a, b) in alike for a, b in itertools.combinations(chosen, 2))
+
+
+def test_clusters_do_not_depend_on_the_shard(spark):
+    df = spark.createDataFrame(cluster_rows(), RECORD)
+    ways = [{}, {"shard": 1}, {"shard": 3, "batch": 2}, {"complete": True}, {"complete": True, "shard": 1, "batch": 7}]
+    results = [sorted(map(tuple, p4.clustered(df, **way).collect())) for way in ways]
+    assert results[0] and results.count(results[0]) == len(results)
+
+
+def test_a_wide_family_is_whole(spark):
+    """Members and satellites of one base, compared with all pairs."""
+    rng = random.Random(5)
+    base = random_text(rng, 150)
+    members = [mutated(rng, base, 0.10) for _ in range(120)]
+    texts = {f"F{k:03d}": t for k, t in enumerate([*members, *(mutated(rng, m, 0.16) for m in members)])}
+    want = plain_groups(near(texts, 3, 1, 4))
+    df = spark.createDataFrame([(i, t, 1, 2, "zz", 3) for i, t in texts.items()], RECORD)
+    name = {r.sid: r.seq_id for r in p1.delivered(df, 30).collect()}
+    for way in ({}, {"shard": 20, "batch": 9}, {"complete": True, "shard": 50}):
+        got = {name[r.sid]: r.root for r in p4.clustered(df, **way).collect()}
+        assert set(got) == set(want)
+        assert len(set(got.values())) == len(set(want.values()))
 
 
 def tagged_rows(count=1300):
@@ -249,7 +270,7 @@ def test_families_inside_a_dense_one(spark, shard):
 
 
 @pytest.mark.parametrize("shard", [5_000, 1])
-def test_weights_count_all_alike_members(spark, shard):
+def test_totals_count_all_members(spark, shard):
     """Two of three texts share their windows of 8 with the first only, yet are alike."""
     rng = random.Random(29)
     texts = {}
@@ -261,11 +282,11 @@ def test_weights_count_all_alike_members(spark, shard):
     name = {r.sid: r.seq_id for r in p1.delivered(df, 30).collect()}
     rows = {name[r.sid]: r for r in p4.clustered(df, shard=shard).collect()}
     windows = {i: {t[k : k + 3] for k in range(len(t) - 2)} for i, t in texts.items()}
-    value = lambda a, b: len(windows[a] & windows[b]) / len(windows[a] | windows[b])
+    cosine = lambda a, b: len(windows[a] & windows[b]) / (len(windows[a]) * len(windows[b])) ** 0.5
     assert any(sum(q.pivot == r.pivot for q in rows.values()) == 3 for r in rows.values())
     for i, r in rows.items():
-        beside = [value(i, j) for j, q in rows.items() if j != i and q.pivot == r.pivot]
-        assert r.weight == pytest.approx(sum(v for v in beside if v >= 0.25))
+        members = [j for j, q in rows.items() if q.pivot == r.pivot]
+        assert r.total / r.windows**0.5 / p4.UNIT == pytest.approx(sum(cosine(i, j) for j in members), rel=1e-4)
 
 
 def test_placement_meets_proportions():
