@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.llm.forests import FOREST, components
-from residua.llm.packets import delivered, exchange
-from residua.llm.sketches import ENTRY, grams, seeding, shared_seeds
+from residua.llm.forests import components
+from residua.llm.packets import delivered
+from residua.llm.sketches import grams, linked_by_seeds
 from residua.session import written
 
 #: Window of the similarity, and the least share of common windows, as a fraction.
@@ -111,7 +111,7 @@ def near_pairs(records: DataFrame, share: tuple[int, int] = SHARE, window: int =
     Null and short sequences take no part, ties and repeated rows change nothing.
     """
     text = delivered(records, least).select("sid", "residues")
-    seeded = exchange(text, seeding(SEED, SEEDS), ENTRY, shared_seeds, FOREST)
+    seeded = linked_by_seeds(text, SEED, SEEDS, records)
     home = components(seeded)
     sizes = home.groupBy("root").count().where(F.col("count") > shard).select("root", F.ceil(F.col("count") / shard).cast("int").alias("blocks"))
     home = home.join(sizes, "root", "left").select(F.col("node").alias("sid"), F.col("root").alias("shard"), F.coalesce("blocks", F.lit(1)).alias("blocks"))

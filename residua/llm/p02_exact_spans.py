@@ -20,14 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.llm.packets import PACKET, Texts, bit_slices, bloom_has, bloom_places, delivered, exchange, merged_bits, mixed, runs, set_bits
+from residua.llm.packets import PACKET, Texts, bit_slices, bloom_has, bloom_places, delivered, exchange, merged_bits, mixed, runs, set_bits, volume
 from residua.llm.sketches import keys_of, new_texts
+from residua.session import written
 
 #: Residues of a shared stretch and of a block; 2 * BLOCK - 1 <= STRETCH.
 STRETCH, BLOCK = 25, 13
 FLANK = STRETCH - BLOCK
-#: Most bits of the block filter: 32 MB.
-FILTER_BITS = 1 << 28
+#: Most bits of the block filter (64 MB), bits for each record to aim at, and the
+#: fewest before another pass is made.
+FILTER_BITS, RECORD_BITS, LEAST_BITS = 1 << 29, 128, 64
 
 ANCHOR = np.dtype([("key", "V6"), ("sid", "<i8"), ("at", "<u4"), ("left", "<u8"), ("right", "<u8")])
 SPAN = np.dtype([("sid", "<i8"), ("first", "<u4"), ("last", "<u4")])
@@ -40,14 +42,18 @@ def block_values(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, at, mixed(value)
 
 
-def block_filter(text: DataFrame, size: int) -> bytes:
-    """Bloom filter of all blocks; ``size`` is a power of two."""
+def of_class(value: np.ndarray, number: int, passes: int) -> np.ndarray:
+    return (value >> np.uint64(17)) % np.uint64(passes) == number
+
+
+def block_filter(text: DataFrame, size: int, number: int = 0, passes: int = 1) -> bytes:
+    """Bloom filter of all blocks of a pass; ``size`` is a power of two."""
 
     def fill(batches):
         bits = np.zeros(size // 8, np.uint8)
         for _, texts in new_texts(batches):
             _, at, value = block_values(texts)
-            for place in bloom_places(value[at % BLOCK == 0], size):
+            for place in bloom_places(value[(at % BLOCK == 0) & of_class(value, number, passes)], size):
                 set_bits(bits, place)
         yield from bit_slices(bits)
 
@@ -68,19 +74,48 @@ def _flanks(texts: Texts, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
     return left, right
 
 
-def _anchors(bits: object, size: int):
+#: Key of entries that are spans already: first and last place stand in the flanks.
+SETTLED = b"\xff" * 6
+
+
+def _settled(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entries to send, settled spans as entries) of a batch.
+
+    Of anchors that agree with both flanks, in different texts, all stretches are
+    shared; one of them is sent for the other batches.
+    """
+    order = np.lexsort((entries["sid"], entries["right"], entries["left"], keys_of(entries)))
+    entries = entries[order]
+    same = (entries["left"][1:] == entries["left"][:-1]) & (entries["right"][1:] == entries["right"][:-1]) & (keys_of(entries)[1:] == keys_of(entries)[:-1])
+    begin = np.flatnonzero(np.r_[True, ~same])
+    size = np.diff(np.r_[begin, len(entries)])
+    several = np.repeat(entries["sid"][begin] != entries["sid"][begin + size - 1], size)
+    if not several.any():
+        return entries, entries[:0]
+    spans = entries[several]
+    room = [sum((spans[side] >> np.uint64(5 * i) & np.uint64(31)) > 0 for i in range(FLANK)) for side in ("left", "right")]
+    first = spans["at"] - room[0]
+    last = spans["at"] + BLOCK - 1 + room[1]
+    spans["left"], spans["right"], spans["key"] = first, last, np.void(SETTLED)
+    keep = ~several
+    keep[begin] = True
+    return entries[keep], spans[last - first + 1 >= STRETCH]
+
+
+def _anchors(bits: object, size: int, number: int, passes: int):
     def make(batches):
         held = np.frombuffer(bits.value, np.uint8)
         for sid, texts in new_texts(batches):
             text, at, value = block_values(texts)
-            hit = bloom_has(held, value, size)
+            hit = bloom_has(held, value, size) & of_class(value, number, passes)
             text, at, value = text[hit], at[hit], value[hit]
             left, right = _flanks(texts, text, at)
             entries = np.empty(len(value), ANCHOR)
             key = mixed(value)
             entries["key"] = (key >> np.uint64(8)).view(np.uint8).reshape(-1, 8)[:, :6].copy().view("V6").ravel()
             entries["sid"], entries["at"], entries["left"], entries["right"] = sid[text], at, left, right
-            yield entries, key
+            entries, spans = _settled(entries) if len(entries) else (entries, entries)
+            yield np.r_[entries, spans], np.r_[mixed(keys_of(entries)), mixed(np.ascontiguousarray(spans["sid"]).view(np.uint64))]
 
     return make
 
@@ -137,8 +172,12 @@ def _joined(sid: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.nd
 
 
 def _shared(part: int, entries: np.ndarray) -> Iterator[pa.RecordBatch]:
+    known = entries["key"] == np.void(SETTLED)
+    spans, entries = entries[known], entries[~known]
     sid, start = _stretches(entries)
     sid, first, last = _joined(sid, start, start)  # runs of consecutive stretch starts
+    one, low, high = _joined(np.ascontiguousarray(spans["sid"]), spans["left"], spans["right"])
+    sid, first, last = np.r_[sid, one], np.r_[first, low], np.r_[last, high - STRETCH + 1]
     for i in range(0, len(sid), 50_000):
         rows = slice(i, i + 50_000)
         yield pa.RecordBatch.from_arrays([pa.array(sid[rows]), pa.array((first[rows] + 1).astype(np.int32)), pa.array((last[rows] + STRETCH).astype(np.int32))], ["sid", "span_start", "span_end"])
@@ -165,12 +204,21 @@ def text_spans(records: DataFrame, most_bits: int = FILTER_BITS) -> DataFrame:
     """
     spark = records.sparkSession
     text = delivered(records, STRETCH).select("sid", "residues")
-    size, rows = 1 << 16, records.count()
-    while size < most_bits and size < 128 * rows:
+    size, (rows, residues) = 1 << 16, volume(records)
+    while size < most_bits and size < RECORD_BITS * rows:
         size <<= 1
-    bits = spark.sparkContext.broadcast(block_filter(text, size))
-    found = exchange(text, _anchors(bits, size), ANCHOR, _shared, SPANS)
-    return exchange(found, _send_spans, SPAN, _join_spans, SPANS)
+    passes = max(1, -(-LEAST_BITS * rows // most_bits))
+    # every block is an anchor of its own text, and some windows of others are
+    anchors = residues // BLOCK * 5 // 4
+    found = None
+    for number in range(passes):
+        bits = spark.sparkContext.broadcast(block_filter(text, size, number, passes))
+        one = exchange(text, _anchors(bits, size, number, passes), ANCHOR, _shared, SPANS, anchors // passes)
+        if passes > 1:
+            one = written(one, "spans")
+            bits.destroy()
+        found = one if found is None else found.union(one)
+    return exchange(found, _send_spans, SPAN, _join_spans, SPANS, anchors)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from residua.llm.forests import FOREST, components, spanning
-from residua.llm.packets import Texts, delivered, exchange, runs
-from residua.llm.sketches import ENTRY, grams, seeding, shared_seeds
+from residua.llm.packets import Texts, delivered, runs
+from residua.llm.sketches import grams, linked_by_seeds
 from residua.session import written
 
 WINDOW, SHARE, LEAST = 3, (1, 4), 30
@@ -215,7 +215,7 @@ def clustered(records: DataFrame, share: tuple[int, int] = SHARE, window: int =
     if complete:
         home = text.select(F.col("sid").alias("node"), F.lit(0).cast("long").alias("root")).distinct()
     else:
-        home = components(exchange(text, seeding(SEED, SEEDS), ENTRY, shared_seeds, FOREST))
+        home = components(linked_by_seeds(text, SEED, SEEDS, records))
     large = written(home.groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") > shard).withColumnRenamed("root", "shard"), "large")
     turn = F.conv(F.substring(F.md5("residues"), 1, 15), 16, 10).cast("long").alias("turn")
     placed = text.join(home.select(F.col("node").alias("sid"), F.col("root").alias("shard")), "sid").select("shard", "sid", "residues")

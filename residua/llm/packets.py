@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -49,9 +49,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def parts_of(spark: SparkSession) -> int:
-    """Number of packet destinations: a few for each shuffle partition."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Raw bytes that a receiving task gets, and destinations it works on one after another.
+TASK_BYTES, PARTS = 8 << 20, 4
+
+
+def volume(records: DataFrame) -> tuple[int, int]:
+    """Rows of a table of sequences and their characters: bounds on what is made of them."""
+    found = records.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("sequence")), F.lit(0)).alias("c")).first()
+    return found.n, int(found.c)
 
 
 class Texts:
@@ -120,18 +125,22 @@ def exchange(
     dtype: np.dtype,
     use: Callable[[int, np.ndarray], Iterator[pa.RecordBatch]],
     schema: str,
+    entries: int,
 ) -> DataFrame:
     """Map batches to (entries, keys), shuffle by key, reduce every destination.
 
-    ``use`` gets all entries of a destination as one array of ``dtype``. A
-    destination holds the entries of many keys, so that its size follows the
-    number of destinations; give more shuffle partitions for more data.
+    ``use`` gets all entries of a destination as one array of ``dtype``. The
+    number of destinations follows ``entries``, a bound on how many there are, so
+    that a destination holds about TASK_BYTES / PARTS however much data comes.
+    ``make`` combines what one value repeats within a batch: a frequent value then
+    weighs as many entries as there are batches.
     """
-    parts = parts_of(df.sparkSession)
+    tasks = max(1, -(-entries * dtype.itemsize // TASK_BYTES))
+    parts = PARTS * tasks
 
     def sending(batches):
-        for entries, keys in make(batches):
-            yield from packed(entries, keys, parts)
+        for some, keys in make(batches):
+            yield from packed(some, keys, parts)
 
     def receiving(batches):
         # rows come sorted by destination
@@ -147,8 +156,7 @@ def exchange(
             yield from use(now, unpacked(held, dtype))
 
     sent = df.mapInArrow(sending, PACKET)
-    together = sent.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part")
-    return together.mapInArrow(receiving, schema)
+    return sent.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(receiving, schema)
 
 
 def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

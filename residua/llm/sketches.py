@@ -15,8 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from residua.llm.forests import spanning
-from residua.llm.packets import Texts, mixed, runs
+from pyspark.sql import DataFrame
+
+from residua.llm.forests import FOREST, spanning
+from residua.llm.packets import Texts, exchange, mixed, runs, volume
 
 ENTRY = np.dtype([("key", "V6"), ("sid", "<i8")])
 
@@ -77,17 +79,44 @@ def keys_of(entries: np.ndarray) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
+def combined(keys: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, sid) that link the same texts with one entry for each key.
+
+    Texts of a batch that share a seed are linked at once, by a key of their own
+    for each link of their spanning forest; one of them then stands for all, so
+    that a seed which very many texts have weighs one entry for each batch.
+    """
+    order = np.argsort(keys, kind="stable")
+    begin, end = runs(keys[order])
+    several = end - begin > 1
+    if not several.any():
+        return keys, sid
+    first = np.repeat(order[begin], end - begin)
+    linked = sid[order] != sid[first]
+    node, root = spanning(sid[order][linked], sid[first][linked])
+    link = mixed(node.view(np.uint64) ^ mixed(root.view(np.uint64)))
+    kept = order[begin]
+    return np.r_[keys[kept], link, link], np.r_[sid[kept], node, root]
+
+
 def seeding(k: int, n: int):
     """Batches of (sid, residues) to seed entries."""
 
     def make(batches):
         for sid, texts in new_texts(batches):
             text, keys = seeds(texts, k, n)
-            yield keyed(keys, sid[text]), keys
+            keys, owner = combined(keys, sid[text])
+            yield keyed(keys, owner), keys
 
     return make
 
 
+def linked_by_seeds(text: DataFrame, k: int, n: int, records: DataFrame) -> DataFrame:
+    """(node, root) forests of the texts (sid, residues) of ``records`` that share one of their ``n`` seeds."""
+    rows, residues = volume(records)
+    return exchange(text, seeding(k, n), ENTRY, shared_seeds, FOREST, min(n * rows, residues))
+
+
 def grams(text: str, k: int) -> frozenset[str]:
     """Distinct windows of k residues."""
     return frozenset(text[i : i + k] for i in range(len(text) - k + 1))

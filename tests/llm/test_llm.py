@@ -192,6 +192,32 @@ def test_groups_by_name(spark):
     assert got == {("Q1", "Q1"), ("Q2", "Q1"), ("R9", "Q1"), ("A", "A"), ("B", "A")}
 
 
+def common_rows(count=60):
+    """Texts that share one stretch of 50 residues, some of them nothing else, and texts that share none."""
+    rng = random.Random(41)
+    block = random_text(rng, 50)
+    rows = [(f"B{k:03d}", random_text(rng, k % 7 * 5) + block + random_text(rng, k % 5 * 8)) for k in range(count)]
+    rows += [(f"N{k:03d}", random_text(rng, 60)) for k in range(9)]
+    return [(i, s, 1, 2, "zz", 3) for i, s in rows]
+
+
+def test_spans_in_passes_are_the_same(spark):
+    df = spark.createDataFrame(common_rows() + family_rows(), RECORD).repartition(3)
+    one = sorted(map(tuple, p2.text_spans(df).collect()))
+    # 150 rows of 64 bits at least take several passes of 4096 bits
+    assert one == sorted(map(tuple, p2.text_spans(df, most_bits=4096).collect()))
+    texts = {r.sid: r.residues for r in p1.delivered(df, 25).collect()}
+    held = {}
+    for sid, text in texts.items():
+        for i in range(len(text) - 24):
+            held.setdefault(text[i : i + 25], set()).add(sid)
+    want = {sid: {i + k for i in range(len(t) - 24) if len(held[t[i : i + 25]]) > 1 for k in range(1, 26)} for sid, t in texts.items()}
+    got = {}
+    for sid, first, last in one:
+        got.setdefault(sid, set()).update(range(first, last + 1))
+    assert got == {sid: places for sid, places in want.items() if places}
+
+
 def cluster_rows():
     rng = random.Random(11)
     rows = []
