@@ -148,7 +148,7 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = delivered(records, LEAST).select("seq_id", "sid").distinct()
     label = components(pairs.select("a", "b"))
     ends = pairs.select(F.col("a").alias("sid"), "common", "either").union(pairs.select("b", "common", "either"))
-    links = ends.groupBy("sid").agg(F.count("*").alias("links"), F.max(F.round(F.col("common") / F.col("either"), 4)).alias("closest"))
+    links = ends.groupBy("sid").agg(F.count("*").alias("links"), F.max(F.floor(F.col("common") / F.col("either") * 10000 + 0.5) / 10000).alias("closest"))
     placed = members.join(label.withColumnRenamed("node", "sid"), "sid", "left").join(links, "sid", "left")
     placed = placed.withColumn("root", F.coalesce("root", "sid"))
     group = placed.groupBy("root").agg(F.min("seq_id").alias("group_id"), F.count("*").alias("members"))
@@ -176,4 +176,14 @@ near AS (SELECT x, y, c, m.n + n.n - c AS e FROM hit JOIN size m ON m.rep = x JO
 pair AS (SELECT DISTINCT a.seq_id AS seq_id_a, b.seq_id AS seq_id_b FROM near JOIN txt s ON s.rep = x JOIN txt t ON t.rep = y
   JOIN long a ON a.r = s.r JOIN long b ON b.r = t.r WHERE a.seq_id < b.seq_id)
 """
-ORACLE = {"p1_found": _WINDOWS + "SELECT seq_id_a, seq_id_b FROM pair"}
+ORACLE = {
+    "p1_found": _WINDOWS + "SELECT seq_id_a, seq_id_b FROM pair",
+    "p1_groups": _WINDOWS.replace("WITH rec", "WITH RECURSIVE rec")
+    + """, reach(rep, other) AS (SELECT rep, rep FROM txt UNION SELECT r.rep, n.y FROM reach r JOIN near n ON n.x = r.other),
+label AS (SELECT rep, min(other) AS root FROM reach GROUP BY rep),
+placed AS (SELECT l.seq_id, t.rep, b.root, count(*) OVER (PARTITION BY b.root) AS members, min(l.seq_id) OVER (PARTITION BY b.root) AS group_id FROM long l JOIN txt t ON t.r = l.r JOIN label b ON b.rep = t.rep),
+lk AS (SELECT x, count(*) AS links, max(floor(c::DOUBLE / e * 10000 + 0.5) / 10000) AS closest FROM near WHERE x <> y GROUP BY x),
+lg AS (SELECT seq_id FROM removal_log UNION SELECT duplicate_of_id FROM removal_log)
+SELECT p.seq_id, group_id, members, coalesce(links, 0) AS links, closest, p.seq_id IN (SELECT seq_id FROM lg WHERE seq_id IS NOT NULL) AS logged
+FROM placed p LEFT JOIN lk ON lk.x = p.rep WHERE members > 1""",
+}

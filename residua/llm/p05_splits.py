@@ -136,7 +136,7 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = records.groupBy("seq_id").agg(F.max("label").alias("label"))
     clusters = spark.read.parquet(f"{sf_dir}/cluster_assignments.parquet")
     shipped = spark.read.parquet(f"{sf_dir}/nested_splits.parquet").groupBy("seq_id").agg(F.min("split_name").alias("shipped_split"))
-    targets = [(r.split_name, r.proportion) for r in spark.read.parquet(f"{sf_dir}/split_targets.parquet").orderBy("split_name").limit(64).collect()]
+    targets = [(r.split_name, r.proportion) for r in spark.read.parquet(f"{sf_dir}/split_targets.parquet").orderBy("split_name").collect()]  # one row a split
     sets = written(linked_sets(records.select("seq_id").union(shipped.select("seq_id")), clusters).join(records, "seq_id", "left"), "sets")
     vectors = sets.groupBy("set_id").agg(F.count("*").alias("records"), F.count_if(F.col("label") == 1).alias("positive"), F.count_if(F.col("label") == 0).alias("negative"))
     chosen = stratified(vectors, targets)
@@ -144,19 +144,37 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("seq_id", "set_id", "split_name", "shipped_split")
 
 
-QUERIES = {"p5_found": p5_found, "p5_splits": p5_splits}
+def p5_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and sets placed, sets that are divided, records without a split, and splits off their proportion by over 1 %."""
+    placed = written(p5_splits(spark, sf_dir), "placed")
+    targets = spark.read.parquet(f"{sf_dir}/split_targets.parquet")
+    sets = placed.groupBy("set_id").agg(F.count("*").alias("records"), F.countDistinct("split_name").alias("splits"))
+    whole = sets.agg(F.sum("records").alias("records"), F.count("*").alias("sets"), F.count_if(F.col("splits") != 1).alias("divided"))
+    share = placed.groupBy("split_name").agg(F.count("*").alias("n")).join(targets, "split_name", "full")
+    total = whole.select(F.col("records").alias("t"))
+    # one row each
+    off = share.crossJoin(F.broadcast(total)).agg(F.count_if(F.coalesce(F.abs(F.col("n") / F.col("t") - F.col("proportion")) > 0.01, F.lit(True))).alias("off"))
+    return whole.crossJoin(off)
 
-ORACLE = {
-    "p5_found": r"""
+
+QUERIES = {"p5_found": p5_found, "p5_splits": p5_splits, "p5_audit": p5_audit}
+
+_SETS = r"""
 WITH RECURSIVE named AS (
   SELECT DISTINCT seq_id, nullif(lower(regexp_replace(assignments, '^\s+|\s+$', '', 'g')), '') AS name FROM cluster_assignments WHERE seq_id IS NOT NULL),
 spl AS (SELECT DISTINCT seq_id, split_name FROM nested_splits WHERE seq_id IS NOT NULL AND split_name IS NOT NULL),
-every AS (SELECT seq_id FROM named UNION SELECT seq_id FROM spl),
+every AS (SELECT seq_id FROM named UNION SELECT seq_id FROM {ids}),
 node AS (SELECT seq_id, 'e' || split_part(seq_id, '-', 1) AS e FROM every),
 bond AS (SELECT DISTINCT n.e AS x, 'c' || m.name AS y FROM named m JOIN node n USING (seq_id) WHERE m.name IS NOT NULL),
 link AS (SELECT DISTINCT a.x AS a, b.x AS b FROM bond a JOIN bond b ON a.y = b.y WHERE a.x <> b.x),
 reach(a, b) AS (SELECT a, a FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
-label AS (SELECT a, min(b) AS root FROM reach GROUP BY a),
-placed AS (SELECT n.seq_id, coalesce(l.root, n.e) AS root, s.split_name FROM node n JOIN spl s USING (seq_id) LEFT JOIN label l ON l.a = n.e)
+label AS (SELECT a, min(b) AS root FROM reach GROUP BY a)
+"""
+ORACLE = {
+    "p5_found": _SETS.replace("{ids}", "spl")
+    + """, placed AS (SELECT n.seq_id, coalesce(l.root, n.e) AS root, s.split_name FROM node n JOIN spl s USING (seq_id) LEFT JOIN label l ON l.a = n.e)
 SELECT DISTINCT seq_id FROM placed WHERE root IN (SELECT root FROM placed GROUP BY root HAVING min(split_name) <> max(split_name))""",
+    # every record is placed, no set is divided, no proportion is missed
+    "p5_audit": _SETS.replace("{ids}", "(SELECT seq_id FROM provenance_records UNION SELECT seq_id FROM nested_splits) WHERE seq_id IS NOT NULL")
+    + "SELECT count(*) AS records, count(DISTINCT coalesce(l.root, n.e)) AS sets, 0::BIGINT AS divided, 0::BIGINT AS off FROM node n LEFT JOIN label l ON l.a = n.e",
 }

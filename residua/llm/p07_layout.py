@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from residua.llm.packets import residues
 from residua.session import written
 
-#: Distinct values in one bucket, the bytes by which an oversized bucket is
-#: split further, and the most bytes that a bucket's name has.
-BUCKET, STEP, DEEPEST = 200_000, 2, 64
+#: Distinct values in one bucket, and the bytes of a bucket's name, twice as many
+#: each time that it is split further.
+BUCKET, STEP = 200_000, 2
 
 
 def canonical_fields(column: str) -> Column:
@@ -88,30 +88,32 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def bucket_names(values: DataFrame, most: int = BUCKET) -> list[bytes]:
     """Names (leading bytes) of buckets that are too large and were split further.
 
-    Values come combined, so that copies weigh little here; a bucket that 64
-    bytes do not divide stays whole, its trie shares the common bytes. Only names of oversized buckets come to the driver: at most rows / ``most``
-    for each level of ``STEP`` bytes.
+    Values come combined, so that copies weigh little here. Splitting ends where
+    no value of a bucket goes on beyond its name. Only names of oversized buckets
+    come to the driver: at most rows / ``most`` for each number of bytes.
     """
     split: list[bytes] = []
     open_, width = values.select("value"), STEP
-    while width <= DEEPEST:
+    while True:
         head = F.substring("value", 1, width)
-        large = open_.groupBy(head.alias("head")).agg(F.count("*").alias("n"))
-        names = [bytes(r.head) for r in large.where(F.col("n") > most).select("head").toLocalIterator()]
+        large = open_.groupBy(head.alias("head")).agg(F.count("*").alias("n"), F.max(F.octet_length("value")).alias("longest"))
+        names = [bytes(r.head) for r in large.where((F.col("n") > most) & (F.col("longest") > width)).select("head").toLocalIterator()]
         if not names:
-            break
+            return split
         split += names
-        width += STEP
-        open_ = open_.where(F.substring("value", 1, width - STEP).isin([F.lit(n) for n in names]))
-    return split
+        open_ = open_.where(F.substring("value", 1, width).isin([F.lit(n) for n in names]))
+        width *= 2
 
 
 def _bucketed(split: list[bytes]) -> Column:
-    """Hash of a value's bucket name: its first bytes, more of them below split names."""
+    """A value's bucket name: its first bytes, more of them below split names."""
     name = F.substring("value", 1, STEP)
-    for width in sorted({len(n) for n in split}):
+    width = STEP
+    while width <= max(map(len, split), default=0):
         known = [F.lit(n) for n in split if len(n) == width]
-        name = F.when(F.substring("value", 1, width).isin(known), F.substring("value", 1, width + STEP)).otherwise(name)
+        if known:
+            name = F.when(F.substring("value", 1, width).isin(known), F.substring("value", 1, 2 * width)).otherwise(name)
+        width *= 2
     return name
 
 

@@ -6,8 +6,8 @@ number of times each is used is solved against the histogram by non-negative
 least squares and rounded down; what is left over is packed greedily, longest
 first, into the open container with the least sufficient room. The plan says
 for each unit which container its first, second, ... text goes to; texts are
-numbered within their unit by counts of the partitions, so that assigning them
-needs neither a sort nor a shuffle. Only texts that exceed the capacity are cut,
+numbered within their unit by slot and, inside a slot, by id, so that a task that
+runs again gives the same numbers. Only texts that exceed the capacity are cut,
 into full containers and one remainder that is packed like any other text.
 """
 
@@ -23,11 +23,10 @@ from pyspark.sql import functions as F
 
 from residua.session import written
 
-#: Units of a capacity, texts per solved combination, rounds of the solver, and
-#: number of slots in which texts are numbered.
+#: Units of a capacity, texts per solved combination, rounds of the solver.
 BINS, DEPTH, ROUNDS = 1024, 3, 300
-
-SLOTS = 4096
+#: Texts in a slot, in which one task numbers them, and most slots.
+SLOT, SLOTS = 50_000, 4096
 
 
 def byte_tokens(column: str) -> Column:
@@ -165,6 +164,13 @@ def container_of(ranges: tuple[np.ndarray, np.ndarray], number: np.ndarray) -> n
 PLACED = "doc_id long, part_no int, token_start long, tokens long, container long"
 
 
+def sized(documents: DataFrame) -> DataFrame:
+    """(doc_id, size, slot) of every text, written once for all capacities; null ids or texts are left out."""
+    slots = max(1, min(SLOTS, -(-documents.count() // SLOT)))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), byte_tokens("text").cast("long").alias("size")).where("doc_id is not null and size is not null")
+    return written(rows.withColumn("slot", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(slots)).cast("int")), "sizes")
+
+
 def packed(documents: DataFrame, capacity: int, bins: int = BINS) -> DataFrame:
     """(doc_id, part_no, token_start, tokens, container) of every text.
 
@@ -172,12 +178,14 @@ def packed(documents: DataFrame, capacity: int, bins: int = BINS) -> DataFrame:
     are packed each. A text within the capacity has part 0 only; a longer one has
     full parts in containers of their own and a remainder.
     """
-    spark = documents.sparkSession
+    return packed_sizes(sized(documents), capacity, bins)
+
+
+def packed_sizes(rows: DataFrame, capacity: int, bins: int = BINS) -> DataFrame:
+    """As ``packed``, for rows of ``sized``."""
+    spark = rows.sparkSession
     bins = min(bins, capacity)
     unit = capacity / bins
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), byte_tokens("text").cast("long").alias("size")).where("doc_id is not null and size is not null")
-    # the numbering below relies on every row keeping its partition
-    rows = written(rows.withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(SLOTS))), "sizes")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, np.ndarray] = {}
@@ -235,18 +243,19 @@ def packed(documents: DataFrame, capacity: int, bins: int = BINS) -> DataFrame:
             columns = [np.concatenate(c) for c in zip(*out)]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1].astype(np.int32)), *(pa.array(c.astype(np.int64)) for c in columns[2:])], ["doc_id", "part_no", "token_start", "tokens", "container"])
 
-    return rows.repartition("slot").mapInArrow(assign, PLACED)
+    return rows.repartition("slot").sortWithinPartitions("slot", "doc_id", "size").mapInArrow(assign, PLACED)
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> list:
-    return spark.read.parquet(f"{sf_dir}/context_windows.parquet").where("capacity_tokens > 0").orderBy("window_name").limit(64).collect()
+    """One row for each capacity asked for."""
+    return spark.read.parquet(f"{sf_dir}/context_windows.parquet").where("capacity_tokens > 0").orderBy("window_name").collect()
 
 
 def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = sized(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     out = None
     for w in _windows(spark, sf_dir):
-        one = packed(documents, w.capacity_tokens).select(F.lit(w.window_name).alias("window_name"), "*")
+        one = packed_sizes(rows, w.capacity_tokens).select(F.lit(w.window_name).alias("window_name"), "*")
         out = one if out is None else out.union(one)
     return out if out is not None else spark.createDataFrame([], "window_name string, " + PLACED)
 
@@ -260,5 +269,27 @@ def p8_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.join(windows, "window_name").withColumn("used", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 4))
 
 
-QUERIES = {"p8_packing": p8_packing, "p8_usage": p8_usage}
-ORACLE: dict[str, str] = {}
+def p8_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per window: texts, tokens and texts over the capacity, and what must not be: overfull containers, texts cut
+    without need, texts with gaps or overlaps between their parts."""
+    windows = spark.read.parquet(f"{sf_dir}/context_windows.parquet")
+    rows = written(p8_packing(spark, sf_dir), "packed")
+    full = rows.groupBy("window_name", "container").agg(F.sum("tokens").alias("t")).join(windows, "window_name")
+    full = full.groupBy("window_name").agg(F.count_if(F.col("t") > F.col("capacity_tokens")).alias("overfull"))
+    texts = rows.groupBy("window_name", "doc_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("parts"), F.max(F.col("token_start") + F.col("tokens")).alias("last"), F.min("token_start").alias("first"))
+    texts = texts.join(windows, "window_name")
+    cut = F.ceil(F.col("t") / F.col("capacity_tokens"))
+    per = texts.groupBy("window_name").agg(
+        F.count("*").alias("texts"), F.sum("t").alias("tokens"), F.count_if(F.col("t") > F.col("capacity_tokens")).alias("oversized"),
+        F.count_if(F.col("parts") > cut).alias("cut_needlessly"), F.count_if((F.col("first") != 0) | (F.col("last") != F.col("t"))).alias("broken"),
+    )
+    return per.join(full, "window_name")
+
+
+QUERIES = {"p8_packing": p8_packing, "p8_usage": p8_usage, "p8_audit": p8_audit}
+ORACLE = {
+    "p8_audit": """
+SELECT window_name, count(*) AS texts, sum(strlen(text) + 1)::BIGINT AS tokens, count(*) FILTER (strlen(text) + 1 > capacity_tokens) AS oversized,
+  0::BIGINT AS cut_needlessly, 0::BIGINT AS broken, 0::BIGINT AS overfull
+FROM documents, context_windows WHERE doc_id IS NOT NULL AND text IS NOT NULL AND capacity_tokens > 0 GROUP BY window_name""",
+}

@@ -20,21 +20,38 @@ from pyspark.sql import functions as F
 
 from residua.session import written
 
-# Letters of other alphabets and phonetic letters that are drawn like a Latin letter.
-LOOKALIKES = {
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J",
-    "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I", "Ѵ": "V",
-    "а": "a", "е": "e", "ѕ": "s", "і": "i", "ј": "j", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ү": "y", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ѵ": "v",
-    "Օ": "O", "Ս": "U", "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "ք": "p",
-    "ɑ": "a", "ɡ": "g", "ɩ": "i", "ı": "i", "ȷ": "j",
-}
+# Letters of other alphabets and phonetic letters that are drawn like a Latin letter, for each alphabet
+# the letters and, below them, the Latin ones.
+ALPHABETS = (
+    # Greek
+    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρϲϳϹͿ", "ABEZHIKMNOPTYXovpcjCJ"),
+    # Cyrillic
+    ("АВЕЅІЈКМНОРСТУХҮԌԚԜӀѴ", "ABESIJKMHOPCTYXYGQWIV"),
+    ("аеѕіјорсухүһԁԛԝӏѵ", "aesijopcyxyhdqwlv"),
+    # Armenian
+    ("ՕՍՏօոսհցքզգյ", "OUSonuhgpqqj"),
+    # Georgian, Tifinagh
+    ("ჿⵔⵏⵝⴹ", "yOlXE"),
+    # Coptic
+    ("ⲂⲎⲒⲔⲘⲚⲞⲟⲢⲣⲤⲥⲦⲨⲬ", "BHIKMNOoPpCcTYX"),
+    # Cherokee
+    ("ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏂᏃᏏᏒᏔᏙᏚᏞᏟᏢᏦᏧᏳᏴ", "DRTiyAJEWMHYGhZbRWVSLCPKdGB"),
+    # Lisu
+    ("ꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPdDTGKJCZFMNLSRVHWXYAEIOU"),
+    # Deseret, Old Italic, Lycian, Carian
+    ("𐐄𐐕𐐛𐐠𐐬𐐽𐑈", "OCLSocs"),
+    ("𐌀𐌁𐌂𐌉𐌑𐌕𐌗", "ABCIMTX"),
+    ("𐊂𐊆𐊒𐊕𐊖𐊗𐊠𐊡𐊢𐊫", "BEOPSTABCO"),
+    # Latin phonetic letters and small capitals
+    ("ɑɡɩɪıȷᴄᴏꜱᴜᴠᴡᴢʏ", "agiiijcosuvwzy"),
+)
+LOOKALIKES = {letter: latin for letters, latins in ALPHABETS for letter, latin in zip(letters, latins, strict=True)}
 TABLE = str.maketrans(LOOKALIKES)
 #: Format characters that show a sign of their own stay.
 INVISIBLE = regex.compile(r"[[\p{Default_Ignorable_Code_Point}\p{Cf}]--[؀-؅۝܏࢐࢑࣢\U000110BD\U000110CD]]", regex.V1)
 BLANK = regex.compile(r"[[\p{Zs}\p{Zl}\p{Zp}\u0085]--[ ]]", regex.V1)
 SEGMENT = regex.compile(r"[\x00-\x7f]?[^\x00-\x7f]+")
-SPECIAL = regex.compile(r"[[\p{Default_Ignorable_Code_Point}\p{Cf}\p{Zl}\p{Zp}\u0085" + "".join(LOOKALIKES) + "]--[ ]]", regex.V1)
+SPECIAL = regex.compile(r"[[\p{Default_Ignorable_Code_Point}\p{Cf}\p{Zs}\p{Zl}\p{Zp}\u0085" + "".join(LOOKALIKES) + "]--[ ]]", regex.V1)
 
 
 def settled(segment: str) -> str:
@@ -44,7 +61,8 @@ def settled(segment: str) -> str:
         if not SPECIAL.search(unicodedata.normalize("NFKD", segment)):
             return segment
     plain = BLANK.sub(" ", INVISIBLE.sub("", segment))
-    plain = unicodedata.normalize("NFKD", plain)
+    # some look-alikes decompose into letters that are none, others come out of a decomposition
+    plain = unicodedata.normalize("NFKD", plain.translate(TABLE))
     return unicodedata.normalize("NFKC", INVISIBLE.sub("", plain).translate(TABLE))
 
 
@@ -75,8 +93,9 @@ def canonical(documents: DataFrame, key: str = "doc_id", column: str = "text") -
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, str] = {}
         for batch in batches:
-            form = [one_form(t, known) for t in batch.column(2).to_pylist()]
-            changed = [a != b for a, b in zip(form, batch.column(2).to_pylist())]
+            texts = batch.column(2).to_pylist()
+            form = [one_form(t, known) for t in texts]
+            changed = [a != b for a, b in zip(form, texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(form, pa.string()), pa.array(changed)], [key, "raw", "form", "changed"])
 
     rows = documents.select(F.col(key).cast("long").alias(key), F.sha2(column, 256).alias("raw"), F.col(column).alias("text")).where(f"{key} is not null and text is not null")

@@ -315,6 +315,22 @@ def test_totals_count_all_members(spark, shard):
         assert r.total / r.windows**0.5 / p4.UNIT == pytest.approx(sum(cosine(i, j) for j in members), rel=1e-4)
 
 
+def test_long_common_heads_are_split(spark):
+    """Values that differ only far from their start still part into buckets, and equal ones end the splitting."""
+    head = "K" * 300
+    rows = [(f"K{k:03d}", head + random_text(random.Random(k // 2), 6)) for k in range(60)] + [(f"S{k}", head) for k in range(9)]
+    df = spark.createDataFrame(rows, "row_key string, value string")
+    whole, split = ({tuple(r) for r in p7.copies(df, most).collect()} for most in (p7.BUCKET, 3))
+    assert whole == split and len(whole) == 31
+    assert any(len(n) > 64 for n in p7.bucket_names(df.selectExpr("encode(value, 'UTF-8') AS value"), 3))
+
+
+@pytest.mark.parametrize("text", ["ϲ", "Ϲ", "Ꭺ", "ꓐ", "Ⲟ", "ჿ", "ⵔ", "Տ", "ρ", "ᴏ", "\u1680"])
+def test_letters_of_any_alphabet(text):
+    assert p10.one_form("x" + text + "y").isascii()
+    assert p10.one_form(text).isascii()
+
+
 def test_placement_meets_proportions():
     rng = np.random.default_rng(1)
     size = rng.integers(1, 8, 4000)
