@@ -34,7 +34,9 @@ def pcp(df: DataFrame) -> DataFrame:
 
 def kmers(sequence: str, k: int) -> Column:
     """All windows of k residues with repetition; a shorter sequence has none."""
-    return F.expr(f"CASE WHEN length({sequence}) >= {k} THEN transform(sequence(1, length({sequence}) - {k - 1}), i -> substr({sequence}, i, {k})) ELSE array() END")
+    # the text is cut into letters once: substr counts its way from the start each time
+    windows = f"transform(array(split({sequence}, '')), c -> transform(sequence(1, length({sequence}) - {k - 1}), i -> array_join(slice(c, i, {k}), '')))[0]"
+    return F.expr(f"CASE WHEN length({sequence}) >= {k} THEN {windows} ELSE array() END")
 
 
 def kmer_set(sequence: str, k: int) -> Column:
@@ -61,11 +63,10 @@ def autocorrelation(df: DataFrame, max_lag: int = 3) -> DataFrame:
     return with_values.select("id", *lags)
 
 
-def physical(df: DataFrame) -> DataFrame:
+def physical_columns() -> list[Column]:
     """Mass, hydropathy, aromaticity, secondary-structure fractions and aggregation score."""
     mass = S.rounded(f"({S.sum_sql(S.MASS)} - {S.WATER} * (length(sequence) - 1)) / 10000e0", 2)
-    return df.select(
-        "id",
+    return [
         F.expr(mass).alias("mol_weight"),
         F.expr(S.mean_sql(S.HYDROPATHY, 10, 3)).alias("gravy"),
         F.expr(S.fraction_sql("FWY")).alias("aromaticity"),
@@ -73,7 +74,11 @@ def physical(df: DataFrame) -> DataFrame:
         F.expr(S.fraction_sql(S.TURN)).alias("turn"),
         F.expr(S.fraction_sql(S.SHEET)).alias("sheet"),
         F.expr(S.mean_sql(S.AGGREGATION, 10, 3)).alias("aggregation"),
-    )
+    ]
+
+
+def physical(df: DataFrame) -> DataFrame:
+    return df.select("id", *physical_columns())
 
 
 def charge_sql(ph: str, sequence: str = "sequence") -> str:
@@ -88,8 +93,12 @@ def charge_sql(ph: str, sequence: str = "sequence") -> str:
     return "(" + " + ".join(up) + " - (" + " + ".join(down) + "))"
 
 
-def isoelectric(df: DataFrame, tolerance: float = 1e-4) -> DataFrame:
-    """(id, isoelectric_point): bisection on [4.05, 12] from 7.775, for whole Arrow batches at once.
+#: Interval in which the isoelectric point is sought, the first guess, and steps until it is narrower than 1e-4.
+PI_RANGE, PI_FIRST, PI_STEPS = (4.05, 12.0), 7.775, 17
+
+
+def isoelectric_column() -> Column:
+    """Isoelectric point by bisection of the net charge, for whole Arrow batches at once; null for an empty sequence.
 
     The counts of charged residues are native expressions; only they and the two
     terminal pK values go to the vectorised solver.
@@ -101,22 +110,28 @@ def isoelectric(df: DataFrame, tolerance: float = 1e-4) -> DataFrame:
     last = F.coalesce(F.try_element_at(ends[1], F.expr("right(sequence, 1)")), F.lit(S.PK_NEGATIVE["Cterm"]))
     up = np.array([S.PK_POSITIVE[r] for r in positive])
     down = np.array([S.PK_NEGATIVE[r] for r in negative])
+    low, high = PI_RANGE
 
     @F.pandas_udf("double")
     def solve(counts: pd.Series, n_end: pd.Series, c_end: pd.Series) -> pd.Series:
-        c = np.stack(counts.to_numpy()).astype(float)
+        c = np.stack(counts.to_numpy()).astype(float) if len(counts) else np.zeros((0, len(up) + len(down)))
         n_end, c_end = n_end.to_numpy(), c_end.to_numpy()
-        lo, hi, ph = np.full(len(c), 4.05), np.full(len(c), 12.0), np.full(len(c), 7.775)
-        while True:
+        lo, hi, ph = np.full(len(c), low), np.full(len(c), high), np.full(len(c), PI_FIRST)
+        for _ in range(PI_STEPS):
             charge = 1 / (1 + 10 ** (ph - n_end)) + (c[:, : len(up)] / (1 + 10 ** (ph[:, None] - up))).sum(1)
             charge -= 1 / (1 + 10 ** (c_end - ph)) + (c[:, len(up) :] / (1 + 10 ** (down - ph[:, None]))).sum(1)
             lo, hi = np.where(charge > 0, ph, lo), np.where(charge > 0, hi, ph)
             ph = (lo + hi) / 2
-            if (hi - lo).max(initial=0) < tolerance:
-                return pd.Series(ph)
+        return pd.Series(ph)
+
+    counts = F.array(*[F.coalesce(S.counted(r), F.lit(0)) for r in (*positive, *negative)])
+    point = F.floor(solve(counts, first, last) * 100 + 0.5) / 100
+    return F.when(F.length("sequence") > 0, point).alias("isoelectric_point")
+
 
-    counts = F.array(*[S.counted(r) for r in (*positive, *negative)])
-    return df.where("length(sequence) > 0").select("id", F.round(solve(counts, first, last), 2).alias("isoelectric_point"))
+def isoelectric(df: DataFrame) -> DataFrame:
+    """(id, isoelectric_point) of the sequences that are not empty."""
+    return df.where("length(sequence) > 0").select("id", isoelectric_column())
 
 
 def complexity(df: DataFrame) -> DataFrame:
@@ -128,18 +143,25 @@ def complexity(df: DataFrame) -> DataFrame:
     return shares.select("id", F.expr(S.rounded(entropy, 6)).alias("entropy"), F.expr(S.rounded("array_max(c) / CAST(nullif(length(sequence), 0) AS DOUBLE)", 6)).alias("max_fraction"))
 
 
+def acc_names(properties: int = 5, lags: int = 5) -> list[str]:
+    """Names of the terms of ``acc``, in their order."""
+    pairs = [(j, k) for j in range(1, properties + 1) for k in range(1, properties + 1) if j != k]
+    return [f"AC_{j}_{lag}" for j in range(1, properties + 1) for lag in range(1, lags + 1)] + [f"CC_{j}_{k}_{lag}" for j, k in pairs for lag in range(1, lags + 1)]
+
+
 def acc(df: DataFrame, lags: int = 5, table: dict[str, tuple[int, ...]] | None = None) -> DataFrame:
     """(id, terms): auto and cross covariances of the centred z-scales, 125 for five scales and lags.
 
     First the auto terms, scale by scale and lag by lag, then the cross terms of
     all ordered pairs. A term is 0 where the sequence is not longer than the lag;
-    empty sequences give zeros. Whole Arrow batches go to vectorised code.
+    empty sequences give zeros. Whole Arrow batches go to vectorised code; sums
+    are integer sums, and each term is one division.
     """
     table = table or S.Z_COMPOSITION
     properties = len(next(iter(table.values())))
-    lookup = np.zeros((256, properties))
+    lookup = np.zeros((256, properties), np.int64)
     for residue, values in table.items():
-        lookup[ord(residue)] = np.array(values) / 100
+        lookup[ord(residue)] = values
     order = [(j, j) for j in range(properties)] + [(j, k) for j in range(properties) for k in range(properties) if j != k]
     left, right = (np.array(x) for x in zip(*order))
 
@@ -148,10 +170,14 @@ def acc(df: DataFrame, lags: int = 5, table: dict[str, tuple[int, ...]] | None =
         out = []
         for s in sequences:
             z = lookup[np.frombuffer(s.encode("ascii", "replace"), np.uint8)]
-            z = z - z.mean(0) if len(z) else z
+            n = len(z)
+            total = z.sum(0)
             value = np.zeros((len(order), lags))
-            for lag in range(1, min(lags, len(z) - 1) + 1):
-                value[:, lag - 1] = (z[:-lag].T @ z[lag:] / (len(z) - lag))[left, right]
+            for lag in range(1, min(lags, n - 1) + 1):
+                first, last = z[:-lag], z[lag:]
+                # n ** 2 times the sum of products of centred values
+                sums = n * n * (first.T @ last) - n * (np.outer(first.sum(0), total) + np.outer(total, last.sum(0))) + (n - lag) * np.outer(total, total)
+                value[:, lag - 1] = sums[left, right] / (n * n * (n - lag) * 10_000)
             out.append(value.ravel())
         return pd.Series(out)
 

@@ -66,6 +66,19 @@ def derringer_sql(ant: str, tox: str, alg: str, therapeutic: bool = False) -> st
     return f"CASE WHEN {a} <= 0 OR {t} <= 0 OR {g} <= 0 THEN 0e0 ELSE {rounded(f'exp((ln({a}) + ln({t}) + ln({g})) / 3e0)', 4)} END"
 
 
+# Priors of the training data, and quantiles of the shipped prediction sets for classes 0 and 1.
+PRIORS = {"ant": 0.45, "tox": 0.277, "alg": 0.25}
+QUANTILES = {"ant": (0.88, 0.95), "tox": (0.93, 0.99), "alg": (0.92, 0.98)}
+#: Names of the classes 0 and 1.
+CLASSES = {"ant": ("Non-Antigen", "Antigen"), "tox": ("Non-Toxic", "Toxic"), "alg": ("Non-Allergen", "Allergen")}
+
+
+def set_sql(p: str, kind: str) -> str:
+    """Names of the classes in the prediction set of a probability, joined by a comma."""
+    (q0, q1), (no, yes) = QUANTILES[kind], CLASSES[kind]
+    return f"concat_ws(',', CASE WHEN {p} <= {q0!r}e0 THEN '{no}' END, CASE WHEN 1e0 - {p} <= {q1!r}e0 THEN '{yes}' END)"
+
+
 RAW = {"tox": TOXICITY, "ant": ANTIGENICITY, "alg": ALLERGENICITY}
 CALIBRATED = {f"cal_{k}": platt_sql(k, *PLATT[k]) for k in ("tox", "ant", "alg")}
 

@@ -30,14 +30,15 @@ def for_model(column: str) -> Column:
     return F.regexp_replace(F.translate(F.upper(_stripped(column)), "UOBZJ", "CKNEL"), "[^ACDEFGHIKLMNPQRSTVWY]", "X")
 
 
-def sanitized(df: DataFrame, key: str, column: str, most: float = 0.05, least: int = 4) -> DataFrame:
+def sanitized(df: DataFrame, key: str | list[str], column: str, most: float = 0.05, least: int = 4) -> DataFrame:
     """Sanitised sequence of each row, with a log of every changed character.
 
     Positions count from 0 after outer white space is cut off. Case changes are
-    logged but do not count as altered. Rows with a null sequence are left out;
+    logged but do not count as altered. ``key`` names the columns that stay. Rows with a null sequence are left out;
     a blank one gives the empty sequence and is dropped.
     """
-    text = df.where(F.col(column).isNotNull()).select(key, _stripped(column).alias("s"))
+    keys = [key] if isinstance(key, str) else key
+    text = df.where(F.col(column).isNotNull()).select(*keys, _stripped(column).alias("s"))
     letters = F.expr("CASE WHEN length(s) > 0 THEN transform(sequence(1, length(s)), i -> substr(s, i, 1)) ELSE array() END")
     standard, mapped = "instr('ACDEFGHIKLMNPQRSTVWY', upper(x)) > 0", "instr('BZJUO', upper(x)) > 0"
     log = f"""transform(c, (x, i) -> named_struct('position', i, 'original', x,
@@ -46,7 +47,7 @@ def sanitized(df: DataFrame, key: str, column: str, most: float = 0.05, least: i
     logged = text.withColumn("c", letters).withColumn("log", F.expr(log))
     altered = F.expr("size(filter(log, a -> a.action IN ('mapped', 'stripped')))")
     out = logged.select(
-        key,
+        *keys,
         F.expr("array_join(transform(log, a -> coalesce(a.converted, '')), '')").alias("sanitized_sequence"),
         F.length("s").alias("original_length"),
         F.expr("filter(log, a -> a.action <> 'kept')").alias("alterations"),
@@ -112,12 +113,22 @@ def resolved_in_order(df: DataFrame) -> DataFrame:
     return graded.join(copied, "sequence").groupBy("sequence").applyInPandas(fold, "id string, duplicate_of string, reason string")
 
 
-def negative_allowed(description: str) -> Column:
-    """True where no word of the description rules it out as a negative control; null counts as allowed."""
-    return ~F.coalesce(F.lower(F.col(description)).rlike("|".join(NOT_NEGATIVE)), F.lit(False))
+def negative_allowed(description: str, keywords: str | None = None, forbidden: tuple[str, ...] = ()) -> Column:
+    """True where no word of the description, and none of the array ``keywords``, rules a row out as a negative control.
+
+    Words of a description may stand anywhere, keywords must be equal but for case. Null counts as allowed.
+    """
+    named = F.coalesce(F.lower(F.col(description)).rlike("|".join(NOT_NEGATIVE)), F.lit(False))
+    if keywords is None:
+        return ~named
+    listed = F.arrays_overlap(F.transform(F.col(keywords), F.lower), F.array(*[F.lit(w.lower()) for w in forbidden]))
+    return ~named & ~F.coalesce(listed, F.lit(False))
 
 
-def organism_class(column: str) -> Column:
-    """bacteria, virus or tumor by words in the name, else null (no score is given)."""
+def organism_class(column: str, aliases: dict[str, str] | None = None) -> Column:
+    """bacteria, virus or tumor by an alias of the whole name or by words in it, else null (no score is given)."""
     name = F.lower(F.trim(F.col(column)))
+    if aliases:
+        table = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
+        return F.coalesce(F.try_element_at(table, name), organism_class(column))
     return F.when(name.contains("bacter"), "bacteria").when(name.contains("vir"), "virus").when(name.contains("tumor") | name.contains("cancer"), "tumor")

@@ -20,28 +20,32 @@ def modified(column: str) -> Column:
     return F.col(column).rlike("(?i)" + "|".join(MODIFICATIONS))
 
 
-def guards(df: DataFrame, shortest: int = 5, longest: int = 1000, entropy: float = 1.5, share: float = 0.5) -> DataFrame:
-    """(id, guard): the first rule that a raw sequence breaks, or null.
+def guard_column(column: str = "sequence", shortest: int = 5, longest: int = 1000, entropy: float = 1.5, share: float = 0.5) -> Column:
+    """The first rule that a raw sequence breaks, or null.
 
     The order is modification, length, non-standard residues, entropy, skew.
     """
-    upper = df.select("id", "sequence", F.upper("sequence").alias("u"))
-    out = upper.withColumns(_complexity("u"))
-    guard = (
-        F.when(modified("sequence"), "annotated_chemical_modification_in_sequence")
-        .when(F.length("sequence") < shortest, f"length_under_minimum_{shortest}")
-        .when(F.length("sequence") > longest, f"length_over_maximum_{longest}")
-        .when(F.col("u").rlike("[^ACDEFGHIKLMNPQRSTVWY]"), "non_canonical_residue_detected")
-        .when(F.col("h") < entropy, F.format_string("extreme_low_complexity_entropy_%.2f_bits", "h"))
-        .when(F.col("top") > share, F.format_string("extreme_skewed_composition_max_aa_%.2f", "top"))
+    counts = "array(" + ", ".join(S.count_sql(c, "u") for c in S.RESIDUES) + ")"
+    # names are bound by transforms over one element, so that letters are counted once
+    h = "aggregate(c, 0.0D, (s, x) -> s - CASE WHEN x > 0 THEN (x / n) * log2(x / n) ELSE 0D END)"
+    values = f"transform(array(upper({column})), u -> transform(array(CAST(length(u) AS DOUBLE)), n -> transform(array({counts}), c -> named_struct('h', {h}, 'top', array_max(c) / n))[0])[0])"
+    spread = (
+        f"transform({values}, x -> CASE WHEN x.h < {entropy!r}D THEN format_string('extreme_low_complexity_entropy_%.2f_bits', x.h)"
+        f" WHEN x.top > {share!r}D THEN format_string('extreme_skewed_composition_max_aa_%.2f', x.top) END)[0]"
+    )
+    return (
+        F.when(modified(column), "annotated_chemical_modification_in_sequence")
+        .when(F.length(column) < shortest, f"length_under_minimum_{shortest}")
+        .when(F.length(column) > longest, f"length_over_maximum_{longest}")
+        .when(F.upper(column).rlike("[^ACDEFGHIKLMNPQRSTVWY]"), "non_canonical_residue_detected")
+        .otherwise(F.expr(spread))
+        .alias("guard")
     )
-    return out.select("id", guard.alias("guard"))
 
 
-def _complexity(column: str) -> dict[str, Column]:
-    counts = "array(" + ", ".join(S.count_sql(c, column) for c in S.RESIDUES) + ")"
-    h = f"aggregate(filter({counts}, x -> x > 0), 0.0D, (s, x) -> s - (x / CAST(length({column}) AS DOUBLE)) * log2(x / CAST(length({column}) AS DOUBLE)))"
-    return {"h": F.expr(h), "top": F.expr(f"array_max({counts}) / CAST(nullif(length({column}), 0) AS DOUBLE)")}
+def guards(df: DataFrame, **limits) -> DataFrame:
+    """(id, guard) by ``guard_column``."""
+    return df.select("id", guard_column(**limits))
 
 
 def instability_weights() -> dict[str, float]:
@@ -72,29 +76,42 @@ def instability_weights() -> dict[str, float]:
     return {a + b: round(w, 2) for a, row in table.items() for w, seconds in row.items() for b in seconds}
 
 
+def instability_column() -> Column:
+    """Ten times the mean weight of the dipeptides; weights not in the table are 1; null under two residues."""
+    letters = 27  # A to Z and anything else
+    table = [100] * letters * letters
+    for pair, w in instability_weights().items():
+        table[(ord(pair[0]) - 65) * letters + ord(pair[1]) - 65] = round(w * 100)
+    codes = "transform(split(sequence, ''), c -> CASE WHEN c >= 'A' AND c <= 'Z' THEN ascii(c) - 65 ELSE 26 END)"
+    weights = f"zip_with(slice(v, 1, size(v) - 1), slice(v, 2, size(v) - 1), (a, b) -> w[a * {letters} + b])"
+    total = f"transform(array(array({', '.join(map(str, table))})), w -> transform(array({codes}), v -> aggregate({weights}, 0L, (s, x) -> s + x))[0])[0]"
+    return F.expr(f"CASE WHEN length(sequence) > 1 THEN {S.rounded(f'CAST({total} AS DOUBLE) / (10 * length(sequence))', 2)} END").alias("instability")
+
+
 def instability_index(df: DataFrame) -> DataFrame:
-    """(id, instability): ten times the mean weight of the dipeptides; weights not in the table are 1."""
-    weights = instability_weights()
-    by_value: dict[int, list[str]] = {}
-    for pair, w in weights.items():
-        by_value.setdefault(round(w * 100), []).append(pair)
-    cases = " ".join(f"WHEN d IN ({', '.join(repr(p) for p in pairs)}) THEN {v}" for v, pairs in sorted(by_value.items()))
-    total = f"aggregate(transform(sequence(1, length(sequence) - 1), i -> substr(sequence, i, 2)), 0L, (s, d) -> s + CASE {cases} ELSE 100 END)"
-    return df.select("id", F.expr(f"CASE WHEN length(sequence) > 1 THEN {S.rounded(f'CAST({total} AS DOUBLE) / (10 * length(sequence))', 2)} END").alias("instability"))
+    """(id, instability) by ``instability_column``."""
+    return df.select("id", instability_column())
 
 
-def stability(df: DataFrame) -> DataFrame:
-    """Stability values with the reasons that speak against a sequence, in a fixed order."""
-    values = features.physical(df).join(instability_index(df), "id").join(df.select("id", F.length("sequence").alias("n"), F.round(F.expr(features.charge_sql("7.4")), 2).alias("charge_7_4")), "id")
+def stability_reasons(length: str = "len") -> Column:
+    """What speaks against a row with instability, aggregation, sheet, gravy and charge_7_4, in a fixed order."""
+    short = F.col(length) < 20
     reasons = F.array_compact(
         F.array(
-            F.when(F.col("n") < 20, "advisory_short_peptide"),
-            F.when(F.col("instability") >= 40, F.when(F.col("n") < 20, "unstable_advisory").otherwise("unstable")),
+            F.when(short, "advisory_short_peptide"),
+            F.when(F.col("instability") >= 40, F.when(short, "unstable_advisory").otherwise("unstable")),
             F.when((F.col("aggregation") > 0.2) | ((F.col("sheet") >= 0.35) & (F.col("gravy") > 0)), "aggregation_prone"),
             F.when(F.abs("charge_7_4") > 6, "extreme_net_charge"),
         )
     )
-    return values.select("*", F.array_join(reasons, ",").alias("reasons"))
+    return F.array_join(reasons, ",").alias("reasons")
+
+
+def stability(df: DataFrame) -> DataFrame:
+    """Stability values with the reasons that speak against a sequence."""
+    charge = F.expr(S.rounded(features.charge_sql("7.4"), 2)).alias("charge_7_4")
+    values = df.select("id", F.length("sequence").alias("len"), *features.physical_columns(), instability_column(), charge)
+    return values.select("*", stability_reasons())
 
 
 def nearest(queries: DataFrame, train: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
@@ -141,6 +158,41 @@ def nearest(queries: DataFrame, train: DataFrame, k: int = 5, block: int = 4096)
     return best.select("id", F.posexplode("b").alias("p", "x")).select("id", F.col("x.neighbour").alias("neighbour"), (-F.col("x.c")).alias("cosine"), (F.col("p") + 1).alias("rank"))
 
 
+def subspace_votes(queries: DataFrame, train: DataFrame, spaces: list[list[int]], block: int = 4096) -> DataFrame:
+    """(id, votes, mean): labels of the nearest training vector in each subspace, their sum and mean.
+
+    Both tables have id (long), vec and, for training, a label. Vectors are
+    compared by their squared distance, to nine digits; ties go to the smaller
+    id; a vector is no neighbour of itself. Blocks of training vectors meet all
+    queries as matrices, and a minimum for each query and subspace travels on.
+    """
+    blocks = max(1, -(-train.count() // block))
+    held = train.where("id is not null and vec is not null and label is not null").select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "vec", F.col("label").cast("long").alias("label"), F.lit(False).alias("asks"))
+    asked = queries.where("id is not null and vec is not null").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "vec", F.lit(None).cast("long").alias("label"), F.lit(True).alias("asks"))
+
+    def search(frame: pd.DataFrame) -> pd.DataFrame:
+        asks = frame["asks"].to_numpy(bool)
+        out = []
+        if asks.any() and not asks.all():
+            base, asking = frame[~asks].sort_values("id"), frame[asks]
+            x, q = (np.stack([np.asarray(v, float) for v in part.vec]) for part in (base, asking))
+            ids, query_ids, labels = base.id.to_numpy(), asking.id.to_numpy(), base.label.to_numpy()
+            own = query_ids[:, None] == ids[None]
+            for s, places in enumerate(spaces):
+                a, b = q[:, places], x[:, places]
+                distance = np.round((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 9)
+                distance[own] = np.inf
+                best = distance.argmin(1)
+                value = np.take_along_axis(distance, best[:, None], 1)[:, 0]
+                keep = np.isfinite(value)
+                out.append(pd.DataFrame({"id": query_ids[keep], "space": s, "distance": value[keep], "neighbour": ids[best][keep], "label": labels[best][keep]}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "space": [], "distance": [], "neighbour": [], "label": []}).astype({"id": "int64", "space": "int32", "distance": "float64", "neighbour": "int64", "label": "int64"})
+
+    found = held.unionByName(asked).groupBy("block").applyInPandas(search, "id long, space int, distance double, neighbour long, label long")
+    nearest_ = found.groupBy("id", "space").agg(F.min_by("label", F.struct("distance", "neighbour")).alias("label"))
+    return nearest_.groupBy("id").agg(F.sum("label").alias("votes"), F.avg("label").alias("mean"))
+
+
 def class_centroids(df: DataFrame, vec: str = "vec", label: str = "label") -> DataFrame:
     """(label, dim, mean, n) of the vectors of each class."""
     return df.select(label, F.posexplode(vec).alias("dim", "x")).groupBy(label, "dim").agg(F.round(F.avg("x"), 6).alias("mean"), F.count("*").alias("n"))
@@ -149,43 +201,46 @@ def class_centroids(df: DataFrame, vec: str = "vec", label: str = "label") -> Da
 def shrunk_covariance(df: DataFrame, vec: str = "vec", label: str = "label") -> tuple[dict, np.ndarray]:
     """Class means and the shrunk covariance that all classes share (Ledoit and Wolf).
 
-    Partial sums of the vectors' moments are the only thing that reaches the
-    driver; their size depends on the number of classes and dimensions alone.
+    Every task keeps one array of moments for each class; the arrays of a class
+    are added up place by place in the cluster, so that the driver gets one
+    number for each class and pair of dimensions, whatever the number of rows.
     """
+    rows = df.select(F.col(label).cast("long").alias(label), vec).na.drop()
 
     def moments(batches):
+        held: dict[int, list] = {}
         for frame in batches:
-            frame = frame.dropna()
             for name, part in frame.groupby(label):
                 x = np.stack([np.asarray(v, float) for v in part[vec]])
-                yield pd.DataFrame({"label": [name], "n": [len(x)], "s": [x.sum(0)], "ss": [(x.T @ x).ravel()]})
-
-    schema = "label long, n long, s array<double>, ss array<double>"
-    partial = df.select(F.col(label).cast("long").alias(label), vec).mapInPandas(moments, schema)
-    total: dict[int, list] = {}
-    for r in partial.toLocalIterator():
-        t = total.setdefault(r.label, [0, 0.0, 0.0])
-        t[0] += r.n
-        t[1] = t[1] + np.array(r.s)
-        t[2] = t[2] + np.array(r.ss)
-    means = {k: t[1] / t[0] for k, t in total.items()}
-    n = sum(t[0] for t in total.values())
-    d = len(next(iter(means.values())))
-    scatter = sum(t[2].reshape(d, d) - t[0] * np.outer(means[k], means[k]) for k, t in total.items())
+                t = held.setdefault(int(name), [0, 0.0, 0.0])
+                t[0] += len(x)
+                t[1] = t[1] + x.sum(0)
+                t[2] = t[2] + x.T @ x
+        for name, (n, s, ss) in held.items():
+            yield pd.DataFrame({"label": [name], "m": [np.r_[n, s, ss.ravel()]]})
+
+    summed = rows.mapInPandas(moments, "label long, m array<double>").select("label", F.posexplode("m").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("x"))
+    packed = summed.groupBy("label").agg(F.expr("transform(array_sort(collect_list(struct(i, x))), p -> p.x)").alias("m")).orderBy("label").collect()
+    total = {r.label: np.array(r.m) for r in packed}
+    if not total:
+        raise ValueError("no labelled vectors")
+    d = int((-1 + (1 + 4 * (len(next(iter(total.values()))) - 1)) ** 0.5) / 2 + 0.5)
+    means = {k: m[1 : d + 1] / m[0] for k, m in total.items()}
+    n = sum(m[0] for m in total.values())
+    scatter = sum(m[d + 1 :].reshape(d, d) - m[0] * np.outer(means[k], means[k]) for k, m in total.items())
     cov = scatter / n
     mu = np.trace(cov) / d
     delta = ((cov - mu * np.eye(d)) ** 2).sum() / d
 
     def spread(batches):
+        value = 0.0
         for frame in batches:
-            frame = frame.dropna()
-            value = 0.0
             for name, part in frame.groupby(label):
                 x = np.stack([np.asarray(v, float) for v in part[vec]]) - means[name]
                 value += (np.einsum("ij,ij->i", x, x) ** 2).sum()
-            yield pd.DataFrame({"v": [value]})
+        yield pd.DataFrame({"v": [value]})
 
-    fourth = df.select(F.col(label).cast("long").alias(label), vec).mapInPandas(spread, "v double").agg(F.sum("v")).first()[0] or 0.0
+    fourth = rows.mapInPandas(spread, "v double").agg(F.sum("v")).first()[0] or 0.0
     beta = min((fourth / n - (cov**2).sum()) / (n * d), delta)
     shrink = 0.0 if delta == 0 else beta / delta
     return means, (1 - shrink) * cov + shrink * mu * np.eye(d)

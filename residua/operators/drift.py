@@ -37,18 +37,21 @@ def psi(base: DataFrame, now: DataFrame, column: str, buckets: int = 10, eps: fl
 def ks(base: DataFrame, now: DataFrame, column: str) -> DataFrame:
     """(statistic, n_base, n_now, p_value): largest gap of the two distribution functions.
 
-    The p-value is the asymptotic series. Equal values are combined first.
+    The p-value is the asymptotic series. Equal values are combined first. Where
+    one side is empty, statistic and p-value are null.
     """
     both = base.select(F.col(column).alias("v"), F.lit(1).alias("e"), F.lit(0).alias("a")).unionAll(now.select(column, F.lit(0), F.lit(1))).where("v is not null")
     ties = both.groupBy("v").agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
     steps = running(ties, F.col("v"), {"ce": "e", "ca": "a"})
     totals = ties.agg(F.sum("e").alias("te"), F.sum("a").alias("ta"))
-    gap = F.abs(F.col("ce") / F.col("te") - F.col("ca") / F.col("ta"))
+    gap = F.abs(F.col("ce") / F.greatest("te", F.lit(1)) - F.col("ca") / F.greatest("ta", F.lit(1)))
     d = steps.crossJoin(F.broadcast(totals)).agg(F.max(gap).alias("d"), F.max("te").alias("n_base"), F.max("ta").alias("n_now"))  # one row
-    root = F.sqrt(F.col("n_base") * F.col("n_now") / (F.col("n_base") + F.col("n_now")))
+    both = (F.col("n_base") > 0) & (F.col("n_now") > 0)
+    d = d.where(both).union(d.where(~F.coalesce(both, F.lit(False))).select(F.lit(None).cast("double"), "n_base", "n_now"))
+    root = F.sqrt(F.greatest(F.col("n_base") * F.col("n_now"), F.lit(1)) / F.greatest(F.col("n_base") + F.col("n_now"), F.lit(1)))
     lam = (root + 0.12 + 0.11 / root) * F.col("d")
     series = sum((F.exp(-2.0 * k * k * lam * lam) * (2.0 * (-1) ** (k - 1)) for k in range(1, 21)), F.lit(0.0))
-    p = F.when(lam < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
+    p = F.when(F.col("d").isNull(), F.lit(None)).when(lam < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
     return d.select(_r(F.col("d")).alias("statistic"), "n_base", "n_now", _r(p, 6).alias("p_value"))
 
 

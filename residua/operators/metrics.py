@@ -125,7 +125,7 @@ def reliability(df: DataFrame, by: list[str] = [], bins: int = 10) -> DataFrame:
 
 def ece(df: DataFrame, by: list[str] = [], bins: int = 10) -> DataFrame:  # noqa: B006
     """Expected calibration error over equal-width bins."""
-    per = valid(df).groupBy(*by, width_bin(F.col("p"), bins).alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("c"), F.avg("y").alias("a"))
+    per = valid(df).groupBy(*by, width_bin(F.col("p"), bins).alias("_bin")).agg(F.count("*").alias("n"), F.avg("p").alias("c"), F.avg("y").alias("a"))
     return per.groupBy(*by).agg(_r(F.sum(F.col("n") * F.abs(F.col("a") - F.col("c"))) / F.sum("n")).alias("ece"))
 
 
@@ -180,23 +180,28 @@ def recall_at_precision(df: DataFrame, levels: list[float], by: list[str] = [])
     return best.select(*by, *[_r(ratio(F.coalesce(f"b{i}", F.lit(0)), F.col("positives"))).alias(f"recall_at_p{round(v * 100)}") for i, v in enumerate(levels)])
 
 
-def threshold_table(df: DataFrame, grid: list[float]) -> DataFrame:
-    """(threshold, tp, fp, fn, tn) for every threshold of a fixed grid.
+def threshold_table(df: DataFrame, grid: list[float], by: list[str] = []) -> DataFrame:  # noqa: B006
+    """(by..., threshold, tp, fp, fn, tn) for every threshold of a fixed grid.
 
     Each prediction falls between two thresholds; only the counts between them
-    are summed up, so that the grid never multiplies the predictions.
+    are summed up, so that the grid never multiplies the predictions. ``by``
+    columns must not be null.
     """
     spark = df.sparkSession
     cuts = F.array(*[F.lit(g) for g in grid])
     # thresholds p reaches: binary search by the array's own order
     reached = F.size(F.filter(cuts, lambda g: g <= F.col("p")))
-    counts = valid(df).groupBy("p").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.count("*").alias("n")).withColumn("reached", reached)
-    steps = counts.groupBy("reached").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    counts = valid(df).groupBy(*by, "p").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.count("*").alias("n")).withColumn("reached", reached)
+    steps = counts.groupBy(*by, "reached").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     table = spark.createDataFrame([(i + 1, float(g)) for i, g in enumerate(grid)], "step int, threshold double")
-    totals = steps.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("all_pos"), F.coalesce(F.sum("n"), F.lit(0)).alias("all_n"))
-    # both sides have at most as many rows as the grid
-    joined = F.broadcast(table).crossJoin(totals).join(steps, F.col("reached") >= F.col("step"), "left").groupBy("threshold", "all_pos", "all_n").agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("tp"), F.coalesce(F.sum("n"), F.lit(0)).alias("called"))
-    return joined.select("threshold", "tp", (F.col("called") - F.col("tp")).alias("fp"), (F.col("all_pos") - F.col("tp")).alias("fn"), (F.col("all_n") - F.col("all_pos") - F.col("called") + F.col("tp")).alias("tn"))
+    totals = steps.groupBy(*by).agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("all_pos"), F.coalesce(F.sum("n"), F.lit(0)).alias("all_n"))
+    # both sides have at most as many rows as the grid, for each group
+    steps = steps.select(*[F.col(c).alias(f"_{c}") for c in by], "reached", "pos", "n")
+    met = F.col("reached") >= F.col("step")
+    for c in by:
+        met &= F.col(c) == F.col(f"_{c}")
+    joined = totals.crossJoin(F.broadcast(table)).join(steps, met, "left").groupBy(*by, "threshold", "all_pos", "all_n").agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("tp"), F.coalesce(F.sum("n"), F.lit(0)).alias("called"))
+    return joined.select(*by, "threshold", "tp", (F.col("called") - F.col("tp")).alias("fp"), (F.col("all_pos") - F.col("tp")).alias("fn"), (F.col("all_n") - F.col("all_pos") - F.col("called") + F.col("tp")).alias("tn"))
 
 
 def threshold_rates(df: DataFrame, grid: list[float]) -> DataFrame:
@@ -243,7 +248,7 @@ def bootstrap(df: DataFrame, cluster: str, metric: str = "brier", draws: int = 2
     n = sums.count()
     if not n:
         return df.sparkSession.createDataFrame([], "point double, low double, high double, draws long")
-    picks = df.sparkSession.range(draws).withColumnRenamed("id", "draw").select("draw", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i"))
+    picks = df.sparkSession.range(draws * n).select((F.expr(f"id div {n}")).alias("draw"), (F.col("id") % n + 1).alias("i"))
     word = F.md5(F.concat_ws(":", F.lit(seed), "draw", "i"))
     picked = picks.select("draw", (F.conv(F.substring(word, 1, 8), 16, 10).cast("long") % n + 1).alias("slot")).groupBy("draw", "slot").agg(F.count("*").alias("times"))
     value = {"brier": F.sum(F.col("times") * F.col("loss")), "accuracy": F.sum(F.col("times") * F.col("right"))}[metric] / F.sum(F.col("times") * F.col("n"))

@@ -21,8 +21,8 @@ ONE_TASK, CHAINED = 30_000, 1_000_000
 
 
 def dominates(a: str, b: str, objectives: list[str], margin: float = 0.0) -> Column:
-    """a is nowhere worse by more than the margin and somewhere better by more than it."""
-    diff = [F.col(f"{a}.{o}") - F.col(f"{b}.{o}") for o in objectives]
+    """a is nowhere worse by more than the margin and somewhere better by more than it, to nine digits."""
+    diff = [F.round(F.col(f"{a}.{o}") - F.col(f"{b}.{o}"), 9) for o in objectives]
     return reduce(lambda x, y: x & y, [d >= -margin for d in diff]) & reduce(lambda x, y: x | y, [d > margin for d in diff])
 
 
@@ -128,35 +128,55 @@ def _chained(matrix: np.ndarray) -> np.ndarray:
     return front
 
 
-def _peeled(matrix: np.ndarray, margin: float) -> np.ndarray:
-    """Front of each vector, -1 for those in or behind a cycle."""
-    n = len(matrix)
-    above = np.zeros(n, np.int64)
-    step = max(1, 20_000_000 // max(n, 1))
+def _codes(matrix: np.ndarray, margin: float) -> tuple[np.ndarray, float]:
+    """Values as thousandths where all are, so that differences are exact and small; else as they are."""
+    whole = np.round(matrix * 1000)
+    if np.abs(whole - matrix * 1000).max(initial=0) < 1e-6 and np.abs(whole).max(initial=0) < 16_000:
+        return whole.astype(np.int16), round(margin * 1000, 6)
+    return matrix, margin
 
-    def beats(rows: np.ndarray, all_: np.ndarray) -> np.ndarray:
-        worse = np.ones((len(rows), len(all_)), bool)
-        better = np.zeros_like(worse)
-        for k in range(matrix.shape[1]):
-            diff = rows[:, None, k] - all_[None, :, k]
-            worse &= diff >= -margin
-            better |= diff > margin
-        return worse & better
 
+def _peeled(matrix: np.ndarray, margin: float) -> np.ndarray:
+    """Front of each vector, -1 for those in or behind a cycle.
+
+    Vectors stand in descending order of the first objective, so that one only
+    needs to be compared with those from its own value, plus the margin, on. Who
+    beats whom is kept as bits for the peeling.
+    """
+    values, margin = _codes(matrix, margin)
+    exact = values.dtype == np.int16
+    order = np.argsort(-values[:, 0].astype(float), kind="stable")
+    values = np.ascontiguousarray(values[order].T)
+    n = values.shape[1]
+    above = np.zeros(n, np.int64)
+    step = 32
+    beaten: list[tuple[int, np.ndarray]] = []
+    falling = -values[0].astype(float)
     for i in range(0, n, step):
-        above += beats(matrix[i : i + step], matrix).sum(0)
+        first = int(np.searchsorted(falling, falling[i] - margin - 1e-9))
+        worse, better = None, None
+        for one in values:
+            diff = one[i : i + step, None] - one[None, first:]
+            diff = diff if exact else np.round(diff, 9)
+            low, high = diff >= -margin, diff > margin
+            worse, better = (low, high) if worse is None else (worse & low, better | high)
+        beats = worse & better
+        above[first:] += beats.sum(0)
+        beaten.append((first, np.packbits(beats, axis=1)))
     front = np.full(n, -1)
-    live = np.arange(n)[above == 0]
+    live = np.flatnonzero(above == 0)
     level = 0
     while len(live):
         front[live] = level
-        taken = np.zeros(n, np.int64)
-        for i in range(0, len(live), step):
-            taken += beats(matrix[live[i : i + step]], matrix).sum(0)
-        above -= taken
+        for block in np.unique(live // step):
+            first, bits = beaten[block]
+            rows = live[live // step == block] - block * step
+            above[first:] -= np.unpackbits(bits[rows], axis=1, count=n - first).sum(0, dtype=np.int64)
         live = np.flatnonzero((above == 0) & (front < 0))
         level += 1
-    return front
+    out = np.empty(n, np.int64)
+    out[order] = front
+    return out
 
 
 def fronts(df: DataFrame, objectives: list[str], margin: float = 0.0, one_task: int = ONE_TASK) -> DataFrame:

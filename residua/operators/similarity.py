@@ -49,10 +49,45 @@ def jaccard_pairs(df: DataFrame, k: int = 3, share: tuple[int, int] = (7, 20), m
 
 def positional_identity(a: str, b: str, over: str = "greatest") -> Column:
     """Equal places of two sequences over the longer (or ``least``: shorter) length."""
-    same = f"aggregate(sequence(1, least(length({a}), length({b}))), 0, (s, i) -> s + CASE WHEN substr({a}, i, 1) = substr({b}, i, 1) THEN 1 ELSE 0 END)"
+    same = f"aggregate(sequence(1, least(length({a}), length({b}))), 0, (_sum, _at) -> _sum + CASE WHEN substr({a}, _at, 1) = substr({b}, _at, 1) THEN 1 ELSE 0 END)"
     return F.expr(f"CASE WHEN length({a}) > 0 AND length({b}) > 0 THEN CAST({same} AS DOUBLE) / {over}(length({a}), length({b})) ELSE 0D END")
 
 
+def identity_variants(a: str, b: str) -> list[Column]:
+    """Three ways to share places: for duplicates (lengths within a tenth), for negatives (within two fifths), over the shorter one."""
+    gap = F.abs(F.length(a) - F.length(b)) / F.greatest(F.length(a), F.length(b), F.lit(1))
+    full = positional_identity(a, b)
+    return [
+        F.when(gap > 0.10, 0.0).otherwise(full).alias("as_duplicate"), F.when(gap > 0.40, 0.0).otherwise(full).alias("as_negative"),
+        positional_identity(a, b, "least").alias("over_shorter"),
+    ]
+
+
+def first_retained(pairs: DataFrame) -> DataFrame:
+    """(removed, kept) when rows are met in the order of their ids and one near an earlier retained one goes.
+
+    ``pairs`` has two id columns. A round retains all rows without an earlier
+    undecided partner, and removes their partners; rounds follow the longest
+    chain of partners, not the number of rows. Null ids link nothing.
+    """
+    a, b = pairs.columns[:2]
+    edges = pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
+    edges = written(edges, "near")
+    open_, gone = edges, None
+    while True:
+        first = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        removed = written(open_.join(first, "a").select("b").distinct(), "removed")
+        if not removed.take(1):
+            break
+        gone = removed if gone is None else gone.union(removed)
+        rest = open_.join(removed, "b", "left_anti").join(removed.withColumnRenamed("b", "a"), "a", "left_anti").select("a", "b")
+        open_ = written(rest, "undecided")
+    if gone is None:
+        return edges.select(F.col("b").alias("removed"), F.col("a").alias("kept")).limit(0)
+    kept = edges.join(gone.withColumnRenamed("b", "a"), "a", "left_anti").join(gone, "b", "left_semi")
+    return kept.groupBy(F.col("b").alias("removed")).agg(F.min("a").alias("kept"))
+
+
 def positional_pairs(df: DataFrame, identity: float = 0.98) -> DataFrame:
     """(a, b, identity) of different texts with equal residues in at least a share of the places.
 

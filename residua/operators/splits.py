@@ -11,6 +11,37 @@ def group_fold(group: str, folds: int = 5) -> Column:
     return F.conv(F.substring(F.md5(F.col(group)), 1, 8), 16, 10).cast("long") % folds
 
 
+def stratified_group_folds(groups: DataFrame, folds: int = 5, shard: int = 20_000) -> DataFrame:
+    """(grp, fold) for groups (grp, rows, positives): no group is divided, folds are even in rows and positives.
+
+    Groups are dealt out largest first, each to the fold that then deviates
+    least; this is done in shards of about ``shard`` groups by their digest, each
+    of which fills all folds evenly. Groups larger than a fold's share of a shard
+    make a shard of their own, so that they balance each other. Null counts as 0.
+    """
+    import pandas as pd
+
+    rows = groups.na.fill(0, ["rows", "positives"])
+    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("rows"), F.lit(0)).alias("r")).first()
+    shards = max(1, -(-total.n // shard))
+    share = max(1.0, total.r / shards / folds)
+    number = F.when(F.col("rows") > share, -1).otherwise(F.pmod(F.xxhash64("grp", F.lit(11)), F.lit(shards))).cast("int")
+
+    def deal(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["rows", "positives", "grp"], ascending=[False, False, True])
+        size, hits = [0.0] * folds, [0.0] * folds
+        every, positive = max(1, frame.rows.sum()), max(1, frame.positives.sum())
+        chosen = []
+        for r, p in zip(frame.rows, frame.positives):
+            fold = min(range(folds), key=lambda f: (((size[f] + r) / every) ** 2 - (size[f] / every) ** 2 + ((hits[f] + p) / positive) ** 2 - (hits[f] / positive) ** 2, f))
+            size[fold] += r
+            hits[fold] += p
+            chosen.append(fold)
+        return pd.DataFrame({"grp": frame.grp, "fold": chosen})
+
+    return rows.withColumn("shard", number).groupBy("shard").applyInPandas(deal, "grp string, fold int")
+
+
 def nested(df: DataFrame, group: str, folds: int = 5, share: float = 0.25) -> DataFrame:
     """(fold, partition, id, group): per outer fold the test, inner training and inner calibration rows.
 

@@ -144,7 +144,7 @@ def q_psi(spark, sf_dir):
 
 
 def q_ks(spark, sf_dir):
-    return drift.ks(*_eras(spark, sf_dir), "value").select("statistic", "n_base", "n_now")
+    return drift.ks(*_eras(spark, sf_dir), "value")
 
 
 def q_length_mix(spark, sf_dir):
@@ -269,7 +269,7 @@ SELECT rule, threshold, names[a + 1] AS basis, recall, fpr, specificity, ppv FRO
     "q_conformal_sets": f"{PRED}, {_SETS} SELECT CASE set_size WHEN 1 THEN 'classified' WHEN 2 THEN 'uncertain' ELSE 'abstain' END AS status, in_0, in_1, count(*) AS n FROM st GROUP BY ALL",
     "q_coverage": f"{PRED}, {_SETS} SELECT 'all' AS over, NULL AS value, {_COV} UNION ALL SELECT 'y', y::VARCHAR, {_COV} GROUP BY y UNION ALL SELECT 'bin', bin, {_COV} GROUP BY bin".replace("AS over", 'AS "over"'),
     "q_psi": f"{_ERAS}, bd AS (SELECT {_PSI} FROM base), e AS (SELECT {_BUCKET} AS k, count(*)::DOUBLE AS n FROM base, bd GROUP BY 1), a AS (SELECT {_BUCKET} AS k, count(*)::DOUBLE AS n FROM now_, bd GROUP BY 1), s AS (SELECT unnest(generate_series(0, 9)) AS k), j AS (SELECT coalesce(e.n, 0) / (SELECT sum(n) FROM e) + 1e-4 AS x, coalesce(a.n, 0) / (SELECT sum(n) FROM a) + 1e-4 AS y FROM s LEFT JOIN e USING (k) LEFT JOIN a USING (k)) SELECT {_r('greatest(0e0, sum((y - x) * ln(y / x)))')} AS psi FROM j",
-    "q_ks": f"{_ERAS}, u AS (SELECT value, 1 AS e, 0 AS a FROM base UNION ALL SELECT value, 0, 1 FROM now_), t AS (SELECT value, sum(e) AS e, sum(a) AS a FROM u GROUP BY value), c AS (SELECT sum(e) OVER (ORDER BY value)::DOUBLE AS ce, sum(a) OVER (ORDER BY value)::DOUBLE AS ca FROM t), n AS (SELECT sum(e)::DOUBLE AS te, sum(a)::DOUBLE AS ta FROM u) SELECT {_r('max(abs(ce / te - ca / ta))')} AS statistic, max(te)::BIGINT AS n_base, max(ta)::BIGINT AS n_now FROM c, n",
+    "q_ks": f"{_ERAS}, u AS (SELECT value, 1 AS e, 0 AS a FROM base UNION ALL SELECT value, 0, 1 FROM now_), t AS (SELECT value, sum(e) AS e, sum(a) AS a FROM u GROUP BY value), c AS (SELECT sum(e) OVER (ORDER BY value)::DOUBLE AS ce, sum(a) OVER (ORDER BY value)::DOUBLE AS ca FROM t), n AS (SELECT sum(e)::DOUBLE AS te, sum(a)::DOUBLE AS ta FROM u), d AS (SELECT max(abs(ce / te - ca / ta)) AS d, max(te) AS te, max(ta) AS ta, sqrt(max(te) * max(ta) / (max(te) + max(ta))) AS root FROM c, n), l AS (SELECT *, (root + 0.12e0 + 0.11e0 / root) * d AS lam FROM d), p AS (SELECT *, CASE WHEN lam < 0.2 THEN 1e0 ELSE greatest(0e0, least(1e0, (SELECT sum(exp(-2e0 * k * k * lam * lam) * (CASE WHEN k % 2 = 1 THEN 2e0 ELSE -2e0 END)) FROM unnest(generate_series(1, 20)) AS u(k)))) END AS p FROM l) SELECT {_r('d')} AS statistic, te::BIGINT AS n_base, ta::BIGINT AS n_now, {_r('p', 6)} AS p_value FROM p",
     "q_length_mix": f"WITH {PEPTIDES_SQL}, b AS (SELECT {features.length_bin_sql('screening', 'len')} AS bin FROM pep) SELECT bin, count(*) AS n, {_r('count(*)::DOUBLE / (SELECT count(*) FROM b)')} AS fraction FROM b GROUP BY bin",
     "q_correlations": f"{PRED}, {_corr('pred', 'p', 'q')}",
     "q_error_correlation": f"{PRED}, er AS (SELECT abs(y - p) AS e, abs(y - q) AS f FROM pred), {_corr('er', 'e', 'f')}",

@@ -82,6 +82,10 @@ def q_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domain.guards(rows.select(F.col("record_no").alias("id"), F.trim("sequence").alias("sequence"))).select("id", "guard")
 
 
+def q_guards_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return domain.guards(peptides(spark, sf_dir))
+
+
 def q_modified(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "sanitization_results").where("original_sequence is not null")
     return rows.select("result_id", domain.modified("original_sequence").alias("modified"))
@@ -97,14 +101,11 @@ def q_kmer_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("kmer").agg(F.sum("n").alias("n"), F.count("*").alias("sequences"), F.max("frequency").alias("highest"))
 
 
-ACC_TERMS = {"AC_1_1": 0, "AC_5_5": 24, "CC_1_2_1": 25, "CC_4_5_3": 102}
-
-
 def q_acc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four of the 125 terms, all of which are computed; three digits."""
-    rows = features.acc(peptides(spark, sf_dir))
-    terms = F.create_map(*[x for name, i in ACC_TERMS.items() for x in (F.lit(name), F.col("terms")[i])])
-    return rows.select("id", F.explode(terms).alias("term", "v")).select("id", "term", F.expr("floor(v * 100 + 0.500001D) / 100").alias("value"))
+    """All 125 terms of every record."""
+    names = F.array(*[F.lit(n) for n in features.acc_names()])
+    rows = features.acc(peptides(spark, sf_dir)).select("id", F.explode(F.arrays_zip(names.alias("term"), F.col("terms").alias("v"))).alias("x"))
+    return rows.select("id", "x.term", F.expr(scales.rounded("x.v", 6)).alias("value"))
 
 
 def q_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,6 +136,7 @@ QUERIES = {
     "q_parser_clean": q_parser_clean,
     "q_model_clean": q_model_clean,
     "q_guards": q_guards,
+    "q_guards_peptides": q_guards_peptides,
     "q_modified": q_modified,
     "q_embedding_keys": q_embedding_keys,
 }
@@ -156,14 +158,7 @@ act AS (SELECT *, CASE WHEN up IN ('A','C','D','E','F','G','H','I','K','L','M','
   WHEN up IN ('B','Z','J','U','O') THEN 'mapped' ELSE 'stripped' END AS action,
   CASE WHEN up IN ('A','C','D','E','F','G','H','I','K','L','M','N','P','Q','R','S','T','V','W','Y') THEN up ELSE translate(up, 'BZJUO', 'NQLCK') END AS kept FROM ch)"""
 _MOD = "regexp_matches(original_sequence, '" + "|".join(domain.MODIFICATIONS).replace("'", "''") + "', 'i')"
-_Z = "CASE substr(sequence, i::BIGINT, 1) " + " ".join(f"WHEN '{r}' THEN [{', '.join(f'{x}e0' for x in v)}]" for r, v in scales.Z_COMPOSITION.items()) + " END"
-
-
-def _term(name: str, j: int, k: int, lag: int) -> str:
-    return (
-        f"SELECT p.id, '{name}' AS term, floor((coalesce(sum(a.z[{j}] * b.z[{k}]) / 10000 / (any_value(p.len) - {lag}), 0.0)) * 100e0 + 0.500001e0) / 100e0 AS value "
-        f"FROM pep p LEFT JOIN cz a ON a.id = p.id LEFT JOIN cz b ON b.id = a.id AND b.i = a.i + {lag} GROUP BY p.id"
-    )
+_Z = "CASE substr(sequence, i::BIGINT, 1) " + " ".join(f"WHEN '{r}' THEN [{', '.join(map(str, v))}]" for r, v in scales.Z_COMPOSITION.items()) + " END"
 
 
 _WEIGHTS = "CASE substr(sequence, i::BIGINT, 2) " + " ".join(f"WHEN '{p}' THEN {round(w * 100)}" for p, w in domain.instability_weights().items()) + " ELSE 100 END"
@@ -172,6 +167,15 @@ win AS (SELECT id, sequence, i AS s, sum(v) OVER (PARTITION BY id ORDER BY i ROW
 hot AS (SELECT * FROM win WHERE s <= len - 6 AND t >= 7000),
 isl AS (SELECT *, s - row_number() OVER (PARTITION BY id ORDER BY s) AS k FROM hot)"""
 
+_LOW, _HIGH = features.PI_RANGE
+_GUARDED = f"""c AS (SELECT id, upper(substr(s, i::BIGINT, 1)) AS x, count(*) AS n FROM r, unnest(generate_series(1, length(s))) AS u(i) GROUP BY 1, 2),
+k AS (SELECT c.id, -sum(n::DOUBLE / length(s) * log2(n::DOUBLE / length(s))) AS h, max(n)::DOUBLE / any_value(length(s)) AS t FROM c JOIN r USING (id) GROUP BY c.id)
+SELECT r.id, CASE WHEN regexp_matches(s, '{"|".join(domain.MODIFICATIONS)}', 'i') THEN 'annotated_chemical_modification_in_sequence'
+WHEN length(s) < 5 THEN 'length_under_minimum_5' WHEN length(s) > 1000 THEN 'length_over_maximum_1000'
+WHEN regexp_matches(upper(s), '[^ACDEFGHIKLMNPQRSTVWY]') THEN 'non_canonical_residue_detected'
+WHEN h < 1.5 THEN 'extreme_low_complexity_entropy_' || printf('%.2f', h) || '_bits' WHEN t > 0.5 THEN 'extreme_skewed_composition_max_aa_' || printf('%.2f', t) END AS guard
+FROM r LEFT JOIN k USING (id)"""
+
 ORACLE = {
     "q_peptides": WITH + " SELECT id, sequence, label, source FROM pep",
     "q_aac": WITH + " SELECT id, " + ", ".join(f"floor((CAST(len(regexp_replace(sequence, '[^{r}]', '', 'g')) AS DOUBLE) * 100.0 / len) * 1000e0 + 0.5e0) / 1000e0 AS aac_{r}" for r in scales.RESIDUES) + " FROM pep",
@@ -197,11 +201,13 @@ floor((sum(v * c)::DOUBLE / (100 * (len - 3))) * 1000e0 + 0.5e0) / 1000e0 AS ACR
 substr(any_value(sequence), min(s)::BIGINT, (max(s) + 7 - min(s))::BIGINT) AS region, floor((sum(t)::DOUBLE / (7000 * count(*))) * 1000e0 + 0.5e0) / 1000e0 AS mean_score FROM isl GROUP BY id, k""",
     "q_dipeptides": f"{WITH} SELECT id, substr(sequence, i::BIGINT, 2) AS kmer, count(*) AS n, floor((count(*)::DOUBLE / (any_value(len) - 1)) * 1000000e0 + 0.5e0) / 1000000e0 AS frequency FROM pep, unnest(generate_series(1, len - 1)) AS u(i) GROUP BY 1, 2",
     "q_kmer_totals": f"{WITH}, f AS (SELECT id, substr(sequence, i::BIGINT, 2) AS kmer, count(*) AS n, floor((count(*)::DOUBLE / (any_value(len) - 1)) * 1000000e0 + 0.5e0) / 1000000e0 AS frequency FROM pep, unnest(generate_series(1, len - 1)) AS u(i) GROUP BY 1, 2) SELECT kmer, sum(n)::BIGINT AS n, count(*) AS sequences, max(frequency) AS highest FROM f GROUP BY kmer",
-    "q_acc": f"""{WITH}, z AS (SELECT id, len, i, {_Z} AS z FROM pep, {POSITIONS}),
-mean AS (SELECT id, {', '.join(f'avg(z[{j}]) AS m{j}' for j in range(1, 6))} FROM z GROUP BY id),
-cz AS (SELECT z.id, i, [{', '.join(f'z[{j}] - m{j}' for j in range(1, 6))}] AS z FROM z JOIN mean USING (id))
-"""
-    + " UNION ALL ".join(_term(*t) for t in (("AC_1_1", 1, 1, 1), ("AC_5_5", 5, 5, 5), ("CC_1_2_1", 1, 2, 1), ("CC_4_5_3", 4, 5, 3))),
+    "q_acc": f"""{WITH}, z AS MATERIALIZED (SELECT id, len, i, {_Z} AS z FROM pep, {POSITIONS}),
+tot AS (SELECT id, {', '.join(f'sum(z[{j}])::BIGINT AS s{j}' for j in range(1, 6))} FROM z GROUP BY id),
+lag AS (SELECT a.id, a.len AS n, l, {', '.join(f'sum(a.z[{j}])::BIGINT AS f{j}, sum(b.z[{j}])::BIGINT AS g{j}' for j in range(1, 6))}, {', '.join(f'sum(a.z[{j}] * b.z[{k}])::BIGINT AS p{j}{k}' for j in range(1, 6) for k in range(1, 6))}
+  FROM unnest(generate_series(1, 5)) AS u(l) JOIN z a ON true JOIN z b ON b.id = a.id AND b.i = a.i + l GROUP BY 1, 2, 3),
+term AS ({' UNION ALL '.join(f"SELECT id, '{f'AC_{j}' if j == k else f'CC_{j}_{k}'}_' || l AS term, (n * n * p{j}{k} - n * (f{j} * s{k} + s{j} * g{k}) + (n - l) * s{j} * s{k})::DOUBLE / (n * n * (n - l) * 10000) AS v FROM lag JOIN tot USING (id)" for j in range(1, 6) for k in range(1, 6))}),
+every AS (SELECT id, unnest([{', '.join(repr(n) for n in features.acc_names())}]) AS term FROM pep)
+SELECT e.id, e.term, {scales.rounded('coalesce(v, 0e0)', 6)} AS value FROM every e LEFT JOIN term USING (id, term)""",
     "q_charge": WITH + " SELECT id, " + ", ".join(f"floor(({features.charge_sql(ph)}) * 10000e0 + 0.5e0) / 10000e0 AS {n}" for n, ph in (("charge_7_0", "7.0"), ("charge_7_4", "7.4"))) + " FROM pep",
     "q_length_bins": WITH + " SELECT id, " + ", ".join(f"{features.length_bin_sql(s, 'len')} AS bin_{s}" for s in features.LENGTH_BINS) + " FROM pep",
     "q_scores": f"{WITH}, {scoring.SCORED_SQL} SELECT id, {', '.join([*scoring.RAW, *scoring.CALIBRATED])} FROM scored",
@@ -215,14 +221,15 @@ length(coalesce(a.s, '')) < 4 AS is_dropped, coalesce(a.changes, 0)::INT AS chan
     "q_alterations": f"WITH {_SAN} SELECT result_id, action AS act, original, count(*) AS n, min(position)::INT AS first_position FROM act WHERE action IS NOT NULL GROUP BY 1, 2, 3",
     "q_parser_clean": "SELECT record_no, regexp_replace(translate(upper(regexp_replace(sequence, '\\s+', '', 'g')), 'BZUXJO', 'DECALK'), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS sequence FROM provenance_records WHERE sequence IS NOT NULL",
     "q_model_clean": "WITH c AS (SELECT record_no, regexp_replace(translate(upper(regexp_replace(sequence, '^\\s+|\\s+$', '', 'g')), 'UOBZJ', 'CKNEL'), '[^ACDEFGHIKLMNPQRSTVWY]', 'X', 'g') AS sequence FROM provenance_records WHERE sequence IS NOT NULL) SELECT record_no, sequence, length(regexp_replace(sequence, '[^X]', '', 'g'))::INT AS unknown FROM c",
-    "q_guards": f"""WITH r AS (SELECT record_no AS id, regexp_replace(sequence, '^ +| +$', '', 'g') AS s FROM provenance_records WHERE sequence IS NOT NULL),
-c AS (SELECT id, upper(substr(s, i::BIGINT, 1)) AS x, count(*) AS n FROM r, unnest(generate_series(1, length(s))) AS u(i) GROUP BY 1, 2),
-k AS (SELECT c.id, -sum(n::DOUBLE / length(s) * log2(n::DOUBLE / length(s))) AS h, max(n)::DOUBLE / any_value(length(s)) AS t FROM c JOIN r USING (id) GROUP BY c.id)
-SELECT r.id, CASE WHEN regexp_matches(s, '{"|".join(domain.MODIFICATIONS)}', 'i') THEN 'annotated_chemical_modification_in_sequence'
-WHEN length(s) < 5 THEN 'length_under_minimum_5' WHEN length(s) > 1000 THEN 'length_over_maximum_1000'
-WHEN regexp_matches(upper(s), '[^ACDEFGHIKLMNPQRSTVWY]') THEN 'non_canonical_residue_detected'
-WHEN h < 1.5 THEN 'extreme_low_complexity_entropy_' || printf('%.2f', h) || '_bits' WHEN t > 0.5 THEN 'extreme_skewed_composition_max_aa_' || printf('%.2f', t) END AS guard
-FROM r LEFT JOIN k USING (id)""",
+    "q_guards": f"WITH r AS (SELECT record_no AS id, regexp_replace(sequence, '^ +| +$', '', 'g') AS s FROM provenance_records WHERE sequence IS NOT NULL), {_GUARDED}",
+    "q_guards_peptides": f"{WITH}, r AS (SELECT id, sequence AS s FROM pep), {_GUARDED}",
     "q_modified": "SELECT result_id, " + _MOD + " AS modified FROM sanitization_results WHERE original_sequence IS NOT NULL",
     "q_embedding_keys": f"{WITH} SELECT id, sha256(sha256(sequence) || '_esm2_t6_8m_r1_int8_mean') AS cache_key FROM pep",
 }
+ORACLE["q_isoelectric"] = f"""{WITH.replace('WITH', 'WITH RECURSIVE', 1)}, step(id, sequence, k, lo, hi, ph) AS (SELECT id, sequence, 0, {_LOW}::DOUBLE, {_HIGH}::DOUBLE, {features.PI_FIRST}::DOUBLE FROM pep
+UNION ALL SELECT id, sequence, k + 1, CASE WHEN c > 0 THEN ph ELSE lo END, CASE WHEN c > 0 THEN hi ELSE ph END, CASE WHEN c > 0 THEN (ph + hi) / 2 ELSE (lo + ph) / 2 END FROM (SELECT *, {features.charge_sql('ph')} AS c FROM step WHERE k < {features.PI_STEPS}))
+SELECT id, floor(ph * 100e0 + 0.5e0) / 100e0 AS isoelectric_point FROM step WHERE k = {features.PI_STEPS}"""
+ORACLE["q_stability"] = f"""{WITH}, ph AS ({ORACLE['q_physical']}), ins AS ({ORACLE['q_instability']}), ch AS (SELECT id, len, {scales.rounded(features.charge_sql('7.4'), 2)} AS charge_7_4 FROM pep)
+SELECT id, concat_ws(',', CASE WHEN len < 20 THEN 'advisory_short_peptide' END, CASE WHEN instability >= 40 THEN CASE WHEN len < 20 THEN 'unstable_advisory' ELSE 'unstable' END END,
+CASE WHEN aggregation > 0.2 OR (sheet >= 0.35 AND gravy > 0) THEN 'aggregation_prone' END, CASE WHEN abs(charge_7_4) > 6 THEN 'extreme_net_charge' END) AS reasons, aggregation, charge_7_4, instability
+FROM ch JOIN ph USING (id) JOIN ins USING (id)"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from residua.functions import features, scales, scoring
 from residua.operators import curation, domain, graph, metrics, models, pareto, similarity, splits
+from residua.plans.ranking_sql import crowding_sql, fronts_sql
 from residua.session import written
 from residua.sources.tables import PEPTIDES_SQL, peptides, table
 from residua.streaming import windows
@@ -112,7 +113,8 @@ def q_pareto_rank(spark, sf_dir):
     """Order of all candidates: front, crowding, toxicity, id; those over the toxicity cap come last."""
     rows = pareto.crowding(written(_fronts(spark, sf_dir), "fronts"), OBJECTIVES)
     capped = F.when(F.col("tox") >= 0.5, 1).otherwise(0)
-    return metrics.ranked(rows, [capped, F.col("front").asc_nulls_last(), F.col("crowding").desc_nulls_last(), F.col("tox"), F.col("id")]).select("id", "front", F.when(F.isnan("crowding") | (F.col("crowding") == float("inf")), None).otherwise(F.round("crowding", 6)).alias("crowding"), "rank")
+    ordered = metrics.ranked(rows, [capped, F.col("front").asc_nulls_last(), F.col("crowding").desc_nulls_last(), F.col("tox"), F.col("id")])
+    return ordered.select("id", "front", F.when(F.col("crowding") < float("inf"), F.expr(scales.rounded("crowding", 6))).alias("crowding"), "rank")
 
 
 def _vectors(spark, sf_dir) -> DataFrame:
@@ -352,3 +354,9 @@ ORACLE["q_hybrid"] = f"""{WITH}, {scoring.SCORED_SQL}, hits AS (SELECT id FROM (
 SELECT s.id, h.id IS NOT NULL AS hit, CASE WHEN h.id IS NOT NULL THEN greatest(alg, 0.85) ELSE alg END AS hazard,
 CASE WHEN h.id IS NOT NULL THEN 'high_risk' WHEN alg >= 0.5 THEN 'moderate_risk' ELSE 'low_risk' END AS tier,
 CASE WHEN h.id IS NOT NULL THEN 'who_fao_short_match' ELSE 'ml_only' END AS basis FROM scored s LEFT JOIN hits h USING (id)"""
+
+_CHAINS, _ON = fronts_sql("ob", OBJECTIVES, 0.0)
+_FRONTED = f"""{_OBJ.replace('WITH', 'WITH RECURSIVE', 1).replace('SELECT id, ant, ', 'SELECT id, tox, ant, ')}, {_CHAINS}, fo AS (SELECT ob.*, fr.front FROM ob LEFT JOIN fr ON {_ON.format(t='ob')})"""
+ORACLE["q_fronts"] = f"{_FRONTED} SELECT id, front FROM fo"
+ORACLE["q_pareto_rank"] = f"""{_FRONTED}, cr AS ({crowding_sql('fo', OBJECTIVES)})
+SELECT id, front, {scales.rounded('crowded', 6)} AS crowding, row_number() OVER (ORDER BY CASE WHEN tox >= 0.5 THEN 1 ELSE 0 END, front, CASE WHEN crowded IS NULL THEN 1e308 ELSE crowded END DESC, tox, id) AS rank FROM cr"""

@@ -17,9 +17,13 @@ def read_fasta(spark: SparkSession, path: str, least: int = 4, sanitize: bool =
     that are not standard) and is null for good ones; nothing is dropped. Text
     before the first header is a record without a header and keeps a null id.
     """
-    chunks = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "\r", "").alias("v"), F.input_file_block_start().alias("_at"), F.monotonically_increasing_id().alias("_n"))
-    # the first record of a file still has its mark; what has none and starts a file has no header
-    headless = (F.col("_at") == 0) & ~F.col("v").startswith(">") & (F.col("_n") % (1 << 33) == 0)
+    chunks = spark.read.option("lineSep", "\n>").text(path).select(
+        F.regexp_replace("value", "\r", "").alias("v"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_n")
+    )
+    # the first record of a file still has its mark; in a file without such a record, the first text has no header
+    files = chunks.where("_at = 0").groupBy("_file").agg(F.max(F.col("v").startswith(">")).alias("_marked"), F.min("_n").alias("_first")).where("not _marked")
+    chunks = chunks.join(files, "_file", "left")
+    headless = F.coalesce(F.col("_n") == F.col("_first"), F.lit(False))
     body = F.regexp_replace("v", "^>", "")
     header = F.when(headless, F.lit(None)).otherwise(F.substring_index(body, "\n", 1))
     lines = F.when(headless, body).otherwise(F.expr("CASE WHEN instr(regexp_replace(v, '^>', ''), '\n') > 0 THEN substr(regexp_replace(v, '^>', ''), instr(regexp_replace(v, '^>', ''), '\n') + 1) ELSE '' END"))

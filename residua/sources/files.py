@@ -15,12 +15,13 @@ RECORD = "id string, sequence string, description string, organism string, label
 def read_records(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """(id, sequence, label, is_flagged, is_dropped) of a JSON list of records, sanitised.
 
-    The label is the first of label, is_toxic, is_antigen and is_allergen that is given.
+    The label is the first of label, is_toxic, is_antigen and is_allergen that is
+    given. Every record gives one row, whatever its id; those with a null sequence are left out.
     """
     raw = spark.read.schema(RECORD).json(path, multiLine=multiline)
     label = F.coalesce("label", "is_toxic", "is_antigen", "is_allergen")
-    clean = sanitized(raw, "id", "sequence").select("id", F.col("sanitized_sequence").alias("sequence"), "is_flagged", "is_dropped")
-    return raw.select("id", label.alias("label")).join(clean, "id").select("id", "sequence", "label", "is_flagged", "is_dropped")
+    clean = sanitized(raw.select("id", "sequence", label.alias("label")), ["id", "label"], "sequence")
+    return clean.select("id", F.col("sanitized_sequence").alias("sequence"), "label", "is_flagged", "is_dropped")
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:

@@ -302,7 +302,7 @@ def test_length_match_leaves_no_admissible_candidate(spark):
 
 
 def brute_fronts(points, margin):
-    beats = lambda a, b: all(x - y >= -margin for x, y in zip(a, b)) and any(x - y > margin for x, y in zip(a, b))
+    beats = lambda a, b: all(round(x - y, 9) >= -margin for x, y in zip(a, b)) and any(round(x - y, 9) > margin for x, y in zip(a, b))
     live, out, level = set(range(len(points))), {}, 0
     while live:
         first = {i for i in live if not any(beats(points[j], points[i]) for j in live)}
