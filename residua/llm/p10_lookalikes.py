@@ -130,4 +130,30 @@ def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p10_found": p10_found, "p10_forms": p10_forms}
-ORACLE: dict[str, str] = {}
+
+
+def plain_sql() -> str:
+    """CTE plain(doc_id, text, form): every character on its own replaced by its decomposed plain form, then composed.
+
+    The table of characters is made from the Unicode data, not from segments.
+    """
+    table = {}
+    for code in range(0x80, 0x110000):
+        c = chr(code)
+        if c in LOOKALIKES or unicodedata.decomposition(c) or INVISIBLE.match(c) or BLANK.match(c):
+            bare = BLANK.sub(" ", INVISIBLE.sub("", c))
+            table[code] = INVISIBLE.sub("", unicodedata.normalize("NFKD", bare.translate(TABLE))).translate(TABLE)
+    codes = ", ".join(map(str, table))
+    forms = ", ".join("'" + form.replace("'", "''") + "'" for form in table.values())
+    return f"""m AS (SELECT unnest([{codes}]) AS code, unnest([{forms}]) AS r), d AS (SELECT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+x AS (SELECT doc_id, i, substr(text, i::BIGINT, 1) AS c FROM d, unnest(generate_series(1, length(text))) AS u(i) WHERE strlen(text) > length(text)),
+f AS (SELECT doc_id, nfc_normalize(string_agg(coalesce(r, c), '' ORDER BY i)) AS form FROM x LEFT JOIN m ON m.code = unicode(c) GROUP BY doc_id),
+plain AS MATERIALIZED (SELECT d.doc_id, d.text, coalesce(f.form, d.text) AS form FROM d LEFT JOIN f USING (doc_id))"""
+
+
+#: Made when they are asked for.
+ORACLE = {
+    "p10_found": lambda: f"WITH {plain_sql()} SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM plain a JOIN plain b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text",
+    "p10_forms": lambda: f"WITH {plain_sql()}, g AS (SELECT form, min(doc_id) AS first_doc_id, count(*) AS documents, count(DISTINCT text) AS texts FROM plain GROUP BY form) "
+    "SELECT doc_id, sha256(form) AS form_sha256, form <> text AS changed, first_doc_id, documents, texts FROM plain JOIN g USING (form)",
+}

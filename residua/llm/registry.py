@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
+    return {name: sql if isinstance(sql, str) else sql() for module in MODULES for name, sql in module.ORACLE.items()}
