@@ -344,3 +344,16 @@ ORACLE["q_decisions"] = " UNION ALL ".join(
         _RULE.format(profile="therapeutic", task="immunogenicity", basis=_BASIS, order=_BOTH, rates=_ON_Q),
     ]
 )
+
+_DIMS = 64
+
+
+def _subspace_sql() -> str:
+    """Squared distances place by place, in every subspace."""
+    places = ", ".join(f"({s}, {d + 1})" for s, dims in enumerate(decisions.subspaces(_DIMS)) for d in dims)
+    return f"""WITH sp(s, d) AS (VALUES {places}), e AS (SELECT vec_id AS id, i AS d, embedding[i]::DOUBLE AS x FROM embeddings, unnest(generate_series(1, len(embedding))) AS u(i) WHERE embedding IS NOT NULL), lb AS (SELECT vec_id AS id, label FROM embeddings WHERE label IS NOT NULL),
+ds AS (SELECT a.id, b.id AS other, s, round(sum((a.x - b.x) * (a.x - b.x)), 9) AS v FROM e a JOIN e b ON a.d = b.d AND a.id <> b.id AND a.id % 20 = 0 JOIN sp ON sp.d = a.d WHERE b.id IN (SELECT id FROM lb) GROUP BY 1, 2, 3),
+nn AS (SELECT id, s, arg_min(other, row(v, other)) AS other FROM ds GROUP BY 1, 2) SELECT nn.id, sum(label)::BIGINT AS votes, {scales.rounded('avg(label)', 4)} AS mean FROM nn JOIN lb ON lb.id = nn.other GROUP BY nn.id"""
+
+
+ORACLE["q_subspace_votes"] = _subspace_sql()

@@ -187,6 +187,18 @@ def q_length_matched(spark, sf_dir):
     return similarity.length_matched(rows.where("label = 1"), rows.where("label = 0"))
 
 
+def q_length_match_audit(spark, sf_dir):
+    """Positives, candidates, and what no match may be: a candidate twice, lengths too far apart, places too much alike."""
+    rows = written(peptides(spark, sf_dir).where("label is not null").select("id", "sequence", "label"), "labelled")
+    met = written(similarity.length_matched(rows.where("label = 1"), rows.where("label = 0")), "matched")
+    sizes = rows.agg(F.count_if(F.col("label") == 1).alias("positives"), F.count_if(F.col("label") == 0).alias("candidates"))
+    one, two = (rows.select(F.col("id").alias(k), F.col("sequence").alias(v)) for k, v in (("id", "s"), ("negative_id", "t")))
+    both = met.join(one, "id").join(two, "negative_id").withColumn("same", similarity.positional_identity("s", "t"))
+    gap = F.abs(F.length("s") - F.length("t")) / F.greatest(F.length("s"), F.length("t"))
+    bad = both.agg((F.count("*") - F.countDistinct("negative_id")).alias("twice"), F.count_if(gap > 0.15).alias("too_far"), F.count_if(F.col("same") >= 0.30).alias("too_alike"))
+    return sizes.crossJoin(bad)  # one row each
+
+
 def q_tumbling(spark, sf_dir):
     return windows.tumbling(table(spark, sf_dir, "events"))
 
@@ -222,12 +234,15 @@ def q_sigmoid_fit(spark, sf_dir):
 
 def q_isotonic_fit(spark, sf_dir):
     rows = written(scoring.scored(peptides(spark, sf_dir)).select("id", F.col("label").alias("y"), F.col("tox").alias("p")), "scores")
-    return models.isotonic(rows)
+    return models.isotonic(rows).select("boundary", F.expr(scales.rounded("prediction", 6)).alias("prediction"))
+
+
+TEMPERATURES = [0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0]
 
 
 def q_temperature(spark, sf_dir):
     rows = scoring.scored(peptides(spark, sf_dir)).select("id", F.col("label").alias("y"), F.col("tox").alias("p"))
-    return models.temperature(rows, [0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0])
+    return models.temperature(rows, TEMPERATURES)
 
 
 def q_forest_oof(spark, sf_dir):
@@ -360,3 +375,23 @@ _FRONTED = f"""{_OBJ.replace('WITH', 'WITH RECURSIVE', 1).replace('SELECT id, an
 ORACLE["q_fronts"] = f"{_FRONTED} SELECT id, front FROM fo"
 ORACLE["q_pareto_rank"] = f"""{_FRONTED}, cr AS ({crowding_sql('fo', OBJECTIVES)})
 SELECT id, front, {scales.rounded('crowded', 6)} AS crowding, row_number() OVER (ORDER BY CASE WHEN tox >= 0.5 THEN 1 ELSE 0 END, front, CASE WHEN crowded IS NULL THEN 1e308 ELSE crowded END DESC, tox, id) AS rank FROM cr"""
+
+_CUT = "greatest(1e-6, least(1 - 1e-6, tox))"
+_LOGITS = f"{WITH}, {scoring.SCORED_SQL}, lg AS MATERIALIZED (SELECT id, label AS y, tox AS p, ln({_CUT} / (1 - {_CUT})) AS z FROM scored WHERE label IS NOT NULL)"
+ORACLE["q_length_match_audit"] = f"{WITH} SELECT count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS candidates, 0::BIGINT AS twice, 0::BIGINT AS too_far, 0::BIGINT AS too_alike FROM pep"
+ORACLE["q_temperature"] = f"{_LOGITS}, t AS (SELECT t AS temperature, round(avg(power(1 / (1 + exp(-z / t)) - y, 2)), 9) AS brier FROM lg, (SELECT unnest({TEMPERATURES})::DOUBLE AS t) GROUP BY t) SELECT temperature, brier FROM t ORDER BY brier, temperature LIMIT 1"
+# Newton steps for slope and intercept, the slope penalised by half its square over the number of rows
+ORACLE["q_sigmoid_fit"] = f"""{_LOGITS.replace('WITH', 'WITH RECURSIVE', 1)}, st(k, w, b) AS (SELECT 0, 0e0::DOUBLE, 0e0::DOUBLE UNION ALL
+SELECT k + 1, w - (hbb * gw - hwb * gb) / (hww * hbb - hwb * hwb), b - (hww * gb - hwb * gw) / (hww * hbb - hwb * hwb) FROM (
+  SELECT k, w, b, sum((q - y) * z) / count(*) + w / count(*) AS gw, sum(q - y) / count(*) AS gb, sum(q * (1 - q) * z * z) / count(*) + 1e0 / count(*) AS hww, sum(q * (1 - q) * z) / count(*) AS hwb, sum(q * (1 - q)) / count(*) AS hbb
+  FROM (SELECT st.*, y, z, 1 / (1 + exp(-(w * z + b))) AS q FROM st, lg WHERE k < 12) GROUP BY k, w, b)),
+ft AS (SELECT y, greatest(1e-15, least(1 - 1e-15, 1 / (1 + exp(-(w * z + b))))) AS c FROM lg, st WHERE k = 12)
+SELECT count(*) AS n, {scales.rounded('avg((c - y) * (c - y))', 4)} AS brier, {scales.rounded('avg(-(y * ln(c) + (1 - y) * ln(1 - c)))', 4)} AS log_loss FROM ft"""
+# the fit at a place is the largest, over the starts before it, of the smallest mean up to an end behind it
+ORACLE["q_isotonic_fit"] = f"""{_LOGITS}, v AS (SELECT p, sum(y)::DOUBLE AS s, count(*)::DOUBLE AS n, row_number() OVER (ORDER BY p) AS i FROM lg GROUP BY p), c AS (SELECT *, sum(s) OVER (ORDER BY i) AS cs, sum(n) OVER (ORDER BY i) AS cn FROM v),
+m AS (SELECT a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS m FROM c a JOIN c b ON b.i >= a.i), low AS (SELECT a, b, min(m) OVER (PARTITION BY a ORDER BY b DESC) AS low FROM m), f AS (SELECT b AS i, max(low) AS f FROM low GROUP BY b),
+e AS (SELECT c.p, f, coalesce(abs(f - lag(f) OVER (ORDER BY c.i)) > 1e-12, true) OR coalesce(abs(f - lead(f) OVER (ORDER BY c.i)) > 1e-12, true) AS edge FROM c JOIN f USING (i)) SELECT p AS boundary, {scales.rounded('f', 6)} AS prediction FROM e WHERE edge"""
+ORACLE["q_resolved_log"] = f"""{_GRADED.replace('WITH', 'WITH RECURSIVE', 1)}, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY sequence ORDER BY id) AS k FROM g),
+w(sequence, k, label, e, reason) AS (SELECT sequence, k, label, e, NULL::VARCHAR FROM o WHERE k = 1 UNION ALL SELECT o.sequence, o.k, CASE WHEN o.e > w.e THEN o.label ELSE w.label END, greatest(o.e, w.e),
+  CASE WHEN o.label = w.label THEN CASE WHEN o.e > w.e THEN 'EXACT_DUPLICATE_SUPERSEDED_BY_HIGHER_EVIDENCE' ELSE 'EXACT_DUPLICATE_RETAINED_PRIMARY' END WHEN o.e <> w.e THEN 'CONFLICTING_LABEL_DISCARDED' ELSE 'UNRESOLVED_CONFLICTING_LABELS_DROPPED' END
+  FROM w JOIN o ON o.sequence = w.sequence AND o.k = w.k + 1) SELECT reason, count(*) AS n FROM w WHERE reason IS NOT NULL GROUP BY reason"""
