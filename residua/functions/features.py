@@ -184,8 +184,19 @@ def acc(df: DataFrame, lags: int = 5, table: dict[str, tuple[int, ...]] | None =
     return df.where("sequence is not null").select("id", terms("sequence").alias("terms"))
 
 
-def pooled(df: DataFrame, by: list[str], vector: str = "vec", modes: tuple[str, ...] = ("mean", "max")) -> DataFrame:
-    """Mean and maximum of the vectors of each group, place by place; rows with a null vector count nowhere."""
+def joined_pools(df: DataFrame, by: list[str], dims: int, vector: str = "vec", special: Column | None = None) -> DataFrame:
+    """(by..., dim, value): the means of a group's vectors followed by their maxima, one vector of twice the places."""
+    both = pooled(df, by, vector, special=special)
+    return both.select(*by, F.col("dim").cast("int").alias("dim"), F.col("mean").alias("value")).union(both.select(*by, (F.col("dim") + dims).cast("int"), F.col("max").cast("double")))
+
+
+def pooled(df: DataFrame, by: list[str], vector: str = "vec", modes: tuple[str, ...] = ("mean", "max"), special: Column | None = None) -> DataFrame:
+    """Mean and maximum of the vectors of each group, place by place.
+
+    Rows with a null vector count nowhere, nor do those of marks that stand for
+    no residue (``special``).
+    """
+    df = df.where(~F.coalesce(special, F.lit(False))) if special is not None else df
     flat = df.where(F.col(vector).isNotNull()).select(*by, F.posexplode(vector).alias("dim", "x"))
     kinds = {"mean": F.avg("x"), "max": F.max("x")}
     return flat.groupBy(*by, "dim").agg(*[kinds[m].alias(m) for m in modes])

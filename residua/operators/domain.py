@@ -246,6 +246,19 @@ def shrunk_covariance(df: DataFrame, vec: str = "vec", label: str = "label") ->
     return means, (1 - shrink) * cov + shrink * mu * np.eye(d)
 
 
+def detected(df: DataFrame, calibration: DataFrame, means: dict, cov: np.ndarray, share: float = 0.99, vec: str = "vec") -> DataFrame:
+    """Adds distance, euclid (to the nearest class mean) and outside: either lies beyond that share of the calibration rows."""
+    both = [mahalanobis(euclidean(part, means, vec), means, cov, vec) for part in (df, calibration)]
+    cuts = both[1].agg(F.expr(f"percentile(distance, {share}D)").alias("_d"), F.expr(f"percentile(euclid, {share}D)").alias("_e"))
+    return both[0].crossJoin(F.broadcast(cuts)).withColumn("outside", (F.col("distance") > F.col("_d")) | (F.col("euclid") > F.col("_e"))).drop("_d", "_e")  # one row
+
+
+def euclidean(df: DataFrame, means: dict, vec: str = "vec") -> DataFrame:
+    """Adds ``euclid``: the distance to the nearest class mean."""
+    each = [F.sqrt(F.aggregate(F.zip_with(vec, F.array(*[F.lit(float(x)) for x in centre]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)) for centre in means.values()]
+    return df.withColumn("euclid", F.least(*each) if len(each) > 1 else each[0])
+
+
 def mahalanobis(df: DataFrame, means: dict, cov: np.ndarray, vec: str = "vec") -> DataFrame:
     """Adds ``distance``: the smallest Mahalanobis distance to a class mean."""
     precision = np.linalg.pinv(cov)

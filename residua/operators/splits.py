@@ -54,6 +54,14 @@ def nested(df: DataFrame, group: str, folds: int = 5, share: float = 0.25) -> Da
     return each.select("fold", part.alias("partition"), "id", "grp")
 
 
+def temporal_sides(df: DataFrame, year: str, cutoff: int, least: int = 20) -> DataFrame:
+    """Adds ``side`` (before, from, unknown) by a year; the median year is taken where a side would have under ``least`` rows."""
+    sizes = df.agg(F.count_if(F.col(year) < cutoff).alias("b"), F.count_if(F.col(year) >= cutoff).alias("f"), F.expr(f"floor(percentile({year}, 0.5))").alias("m"))
+    cut = sizes.select(F.when((F.col("b") < least) | (F.col("f") < least), F.col("m")).otherwise(F.lit(cutoff)).alias("_cut"))
+    side = F.when(F.col(year).isNull(), "unknown").when(F.col(year) < F.col("_cut"), "before").otherwise("from")
+    return df.crossJoin(F.broadcast(cut)).withColumn("side", side).drop("_cut")  # one row
+
+
 def shared_values(df: DataFrame, split: str, value: str) -> DataFrame:
     """(left, right, shared): number of values that two splits have in common, pairs without any included not."""
     pairs = df.where(f"{split} is not null and {value} is not null").select(split, value).distinct()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from residua.plans import decision_queries, evaluation_queries, feature_queries, pipeline, relation_queries
+from residua.plans import decision_queries, evaluation_queries, feature_queries, model_queries, pipeline, relation_queries
 
-MODULES = (feature_queries, evaluation_queries, relation_queries, pipeline, decision_queries)
+MODULES = (feature_queries, evaluation_queries, relation_queries, pipeline, decision_queries, model_queries)
 
 
 def queries() -> dict:
