@@ -76,10 +76,14 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST) -> DataFra
     held = 0
 
     def search(part):
-        table = spark.sparkContext.broadcast(part)
+        table = spark.sparkContext.broadcast({"items": part})
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            machine = WuManber(table.value, least)
+            # a worker keeps the value for its later tasks, and the machine with it
+            held = table.value
+            if "machine" not in held:
+                held["machine"] = WuManber(held.pop("items"), least)
+            machine = held["machine"]
             for batch in batches:
                 out = [(doc, item) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for item in sorted(machine.items_in(words(text)))]
                 if out:
