@@ -120,7 +120,8 @@ def nearest(queries: DataFrame, train: DataFrame, k: int = 5, block: int = 4096)
     Both tables have id (long) and vec (array of floats). Training vectors are
     cut into blocks, each query meets each block in one matrix product, and only
     its best k of a block travel on, so that work is spread over the blocks and
-    what is shuffled is k rows per query and block. Ties go to the smaller id; a
+    what is shuffled is k rows per query and block. It is an exact search: every
+    query meets every vector, and is sent to every block. Ties go to the smaller id; a
     vector of norm 0 or with a null matches nothing.
     """
     spark = train.sparkSession
@@ -128,9 +129,9 @@ def nearest(queries: DataFrame, train: DataFrame, k: int = 5, block: int = 4096)
     packed = train.where("id is not null and vec is not null").select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "vec", F.lit(False).alias("asks"))
     asked = queries.where("id is not null and vec is not null").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "vec", F.lit(True).alias("asks"))
 
-    def search(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def search(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         asks = frame["asks"].to_numpy(bool)
-        empty = pd.DataFrame({"id": [], "neighbour": [], "cosine": []}).astype({"id": "int64", "neighbour": "int64", "cosine": "float64"})
+        empty = pd.DataFrame({"id": [], "neighbour": [], "cosine": [], "part": []}).astype({"id": "int64", "neighbour": "int64", "cosine": "float64", "part": "int32"})
         if asks.all() or not asks.any():
             return empty
 
@@ -150,11 +151,15 @@ def nearest(queries: DataFrame, train: DataFrame, k: int = 5, block: int = 4096)
             best = np.argsort(-cosine, axis=1, kind="stable")[:, : k + 1]
             rows = np.repeat(query_ids, best.shape[1]), ids[best].ravel(), np.take_along_axis(cosine, best, 1).ravel()
             keep = rows[0] != rows[1]
-            out.append(pd.DataFrame({"id": rows[0][keep], "neighbour": rows[1][keep], "cosine": rows[2][keep]}))
+            out.append(pd.DataFrame({"id": rows[0][keep], "neighbour": rows[1][keep], "cosine": rows[2][keep], "part": key[0] % parts}))
         return pd.concat(out) if out else empty
 
-    found = packed.unionByName(asked).groupBy("block").applyInPandas(search, "id long, neighbour long, cosine double")
-    best = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "neighbour"))), 1, k).alias("b"))
+    # two levels, so that no task holds k rows of every block for one query
+    parts = max(1, int(blocks**0.5))
+    best_of = lambda x: F.slice(F.array_sort(F.collect_list(x)), 1, k)
+    found = packed.unionByName(asked).groupBy("block").applyInPandas(search, "id long, neighbour long, cosine double, part int")
+    some = found.groupBy("id", "part").agg(best_of(F.struct((-F.col("cosine")).alias("c"), "neighbour")).alias("b"))
+    best = some.select("id", F.explode("b").alias("x")).groupBy("id").agg(best_of("x").alias("b"))
     return best.select("id", F.posexplode("b").alias("p", "x")).select("id", F.col("x.neighbour").alias("neighbour"), (-F.col("x.c")).alias("cosine"), (F.col("p") + 1).alias("rank"))
 
 

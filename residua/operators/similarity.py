@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from residua.functions.features import kmer_set
@@ -91,13 +91,23 @@ def first_retained(pairs: DataFrame) -> DataFrame:
 def positional_pairs(df: DataFrame, identity: float = 0.98) -> DataFrame:
     """(a, b, identity) of different texts with equal residues in at least a share of the places.
 
-    With blocks of half the length at which one difference is allowed, two such
-    texts have more whole blocks than differences, hence agree in a block at the
-    same place, which is what is joined. Shorter texts can only be equal.
+    Texts are cut into blocks of half the length at which one difference is
+    allowed, so that two such texts agree in about half of their blocks, at the
+    same places. Of n blocks of which m agree, one is among the n - m + 1 rarest
+    of either text; only these are joined, and a block that very many texts begin
+    with is left to the texts that have little else. Shorter texts can only be equal.
     """
     block = max(1, int(0.5 / (1 - identity) + 1e-9))
     text = distinct_texts(df.where("sequence is not null")).withColumn("len", F.length("sequence"))
     blocks = text.where(F.col("len") >= block).select("rep", "len", F.explode(F.expr(f"transform(sequence(0, len DIV {block} - 1), i -> named_struct('i', i, 'h', xxhash64(substr(sequence, i * {block} + 1, {block}))))")).alias("k"))
+    blocks = blocks.join(blocks.groupBy("k").agg(F.count("*").alias("texts")), "k").where("texts > 1")
+    # agreeing blocks with the shortest partner allowed, and the most differences with the longest
+    agree = F.floor(F.col("len") * identity / block + 1e-9) - F.floor(F.col("len") * (1 - identity) / identity + 1e-9)
+    every = F.floor(F.col("len") / block)
+    # blocks of one text alone come first in the order and use up places
+    own = every - F.count("*").over(Window.partitionBy("rep"))
+    rare = F.row_number().over(Window.partitionBy("rep").orderBy("texts", "k")) <= every - F.greatest(agree, F.lit(1)) + 1 - own
+    blocks = blocks.withColumn("rare", rare).where("rare").select("k", "rep", "len")
     left, right = (blocks.select("k", F.col("rep").alias(c), F.col("len").alias(f"l_{c}")) for c in "ab")
     fits = F.least("l_a", "l_b") >= F.greatest("l_a", "l_b") * identity
     near = left.join(right, "k").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
@@ -154,11 +164,17 @@ def short_matches(queries: DataFrame, reference: DataFrame, k: int = 6) -> DataF
     """(id, kmer, position, reference_id): the first window of a query that a reference holds.
 
     Among references the smallest id counts. A reference never matches a query
-    with its id or its group (``grp``, null for none). Windows are joined, with
-    the reference side combined per window and group first.
+    with its id or its group (``grp``, null for none; an id has one group).
+    Windows are joined. Of the references that hold a window, the smallest and
+    the smallest of another group answer every query, so that a window that very
+    many references hold is two rows.
     """
     window = lambda d: d.where(f"length(sequence) >= {k}").select("*", F.posexplode(F.expr(f"transform(sequence(1, length(sequence) - {k - 1}), i -> substr(sequence, i, {k}))")).alias("position", "kmer"))
-    known = window(reference).groupBy("kmer", F.col("grp").alias("ref_grp"), F.col("id").alias("reference_id")).agg(F.lit(1).alias("one")).drop("one")
+    of = F.coalesce(F.concat(F.lit("g:"), "grp"), F.concat(F.lit("i:"), "id"))
+    held = window(reference.select("id", "sequence", "grp")).groupBy("kmer", of.alias("of")).agg(F.min(F.struct(F.col("id").alias("reference_id"), F.col("grp").alias("ref_grp"))).alias("r"))
+    first = held.groupBy("kmer").agg(F.min(F.struct("r", "of")).alias("m"))
+    second = held.join(first, "kmer").where(F.col("of") != F.col("m.of")).groupBy("kmer").agg(F.min("r").alias("r"))
+    known = first.select("kmer", "m.r.*").union(second.select("kmer", "r.*"))
     hits = window(queries).join(known, "kmer").where((F.col("id") != F.col("reference_id")) & ~F.coalesce(F.col("grp") == F.col("ref_grp"), F.lit(False)))
     return hits.groupBy("id").agg(F.min(F.struct("position", "reference_id", "kmer")).alias("m")).select("id", "m.kmer", (F.col("m.position") + 1).alias("position"), "m.reference_id")
 

@@ -301,6 +301,27 @@ def test_length_match_leaves_no_admissible_candidate(spark):
     assert {tuple(r) for r in rows} == {("p1", "n1"), ("p2", "n2")}
 
 
+@pytest.mark.parametrize("identity", [0.9, 0.95, 0.98])
+def test_positional_pairs_with_common_heads(spark, identity):
+    """Texts that all begin alike, at and around the threshold, against all pairs."""
+    rng = random.Random(31)
+    head, rows = "".join(rng.choice("ACDEFGHIKL") for _ in range(30)), []
+    for f in range(12):
+        base = head + "".join(rng.choice("ACDEFGHIKL") for _ in range(rng.randint(0, 130)))
+        for _ in range(6):
+            text = list(base)
+            for at in rng.sample(range(len(text)), min(len(text), rng.randint(0, int(len(text) * 1.6 * (1 - identity)) + 1))):
+                text[at] = rng.choice("MNPQRST")
+            rows.append("".join(text)[: len(text) - rng.choice([0, 0, 0, 1, 3])])
+    rows = list(dict.fromkeys(rows))
+    df = spark.createDataFrame([(f"p{i:03d}", t) for i, t in enumerate(rows)], "id string, sequence string")
+    value = lambda s, t: sum(a == b for a, b in zip(s, t)) / max(len(s), len(t))
+    want = {(f"p{i:03d}", f"p{j:03d}") for i, s in enumerate(rows) for j, t in enumerate(rows) if i < j and value(s, t) >= identity and max(len(s), len(t)) >= 1 / (1 - identity)}
+    got = {(r.a, r.b) for r in similarity.positional_pairs(df, identity).collect()}
+    assert want and {p for p in got if p in want} == want
+    assert all(value(rows[int(a[1:])], rows[int(b[1:])]) >= identity for a, b in got)
+
+
 def brute_fronts(points, margin):
     beats = lambda a, b: all(round(x - y, 9) >= -margin for x, y in zip(a, b)) and any(round(x - y, 9) > margin for x, y in zip(a, b))
     live, out, level = set(range(len(points))), {}, 0
