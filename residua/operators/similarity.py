@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from residua.functions.features import kmer_set
 from residua.functions.scales import RESIDUES, rounded
 from residua.session import written
 
@@ -19,32 +18,76 @@ def distinct_texts(df: DataFrame) -> DataFrame:
     return df.groupBy("sequence").agg(F.min("id").alias("rep"))
 
 
-def jaccard_pairs(df: DataFrame, k: int = 3, share: tuple[int, int] = (7, 20), matches: int = 8) -> DataFrame:
-    """(a, b, common, either) of different texts that share enough of their windows, a < b by representative.
+def window_codes(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, code) of the distinct windows of k characters of each text, equal windows with equal codes.
 
-    Windows are ordered by how rare they are. Of two texts that share a fraction
-    t, the first n - ceil(t n) + m windows of each have m in common. Only these
-    are joined and counted, with texts whose sizes differ too much left out, and
-    whole window sets are compared on the pairs that reach the count.
+    Codes are made longer by one character at a time and numbered anew, so that they are exact for every k.
+    """
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    letters, code = np.unique(points, return_inverse=True)
+    single = code
+    for i in range(1, k):
+        code = code[: max(len(points) - i, 0)] * len(letters) + single[i:]
+        code = np.unique(code, return_inverse=True)[1]
+    counts = np.maximum(lengths - k + 1, 0)
+    text = np.repeat(np.arange(len(texts)), counts)
+    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    names = int(code.max(initial=0)) + 1
+    held = np.unique(text * names + code[np.repeat(np.cumsum(lengths) - lengths, counts) + place])
+    return held // names, held % names
+
+
+def matched_windows(texts: list[str], k: int, share: tuple[int, int], home: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, common, either) of all pairs of places of texts that share enough windows, x < y.
+
+    With ``home``, x is one of the first ``home`` texts and y one of the rest. The
+    texts of each window are listed; those of a text's windows are counted.
     """
     up, down = share
-    t = up / down
-    named = distinct_texts(df.where("sequence is not null")).select(F.xxhash64("sequence").alias("rep"), F.col("rep").alias("id"), kmer_set("sequence", k).alias("g"))
-    grams = written(named.withColumn("n", F.size("g")), "windows")
-    flat = grams.select("rep", "n", F.explode("g").alias("w")).withColumn("w", F.xxhash64("w"))
-    rare = flat.groupBy("w").agg(F.count("*").alias("df"))
-    ordered = flat.join(rare, "w").where("df > 1").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
-    # windows of one text only come first in the order and use up places of the prefix
-    own = F.col("n") - F.size("o")
-    prefix = F.greatest(F.lit(0), (F.col("n") - F.ceil(F.col("n") * t - 1e-9) + matches - own).cast("int"))
-    keys = ordered.withColumn("p", prefix).where("p > 0").select("rep", "n", F.explode(F.expr("transform(slice(o, 1, p), x -> x.w)")).alias("w"))
-    left, right = (keys.select("w", F.col("rep").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
-    needed = F.least(F.lit(matches), F.ceil(F.greatest("n_a", "n_b") * t - 1e-9))
-    near = left.join(right, "w").where((F.col("a") < F.col("b")) & (F.col("n_a") * down >= F.col("n_b") * up) & (F.col("n_b") * down >= F.col("n_a") * up))
-    near = near.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b")).where(F.col("met") >= needed).select("a", "b")
-    one, two = (grams.select(F.col("rep").alias(c), F.col("id").alias(f"id_{c}"), F.col("g").alias(f"g_{c}"), F.col("n").alias(f"m_{c}")) for c in "ab")
-    both = near.join(one, "a").join(two, "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), F.size(F.array_intersect("g_a", "g_b")).alias("common"), "m_a", "m_b")
-    return both.select("a", "b", "common", (F.col("m_a") + F.col("m_b") - F.col("common")).alias("either")).where(F.col("common") * down >= F.col("either") * up)
+    text, code = window_codes(texts, k)
+    size = np.bincount(text, minlength=len(texts))
+    first = np.r_[0, np.cumsum(size)]
+    lists = np.split(text[np.argsort(code, kind="stable")], np.cumsum(np.bincount(code))[:-1]) if len(code) else []
+    out = [[np.zeros(0, np.int64)] for _ in range(4)]
+    for x in range(len(texts) if home is None else home):
+        own = code[first[x] : first[x + 1]]
+        beyond = x + 1 if home is None else home
+        common = np.zeros(len(texts), np.int64)
+        for i in range(0, len(own), 256):
+            common += np.bincount(np.concatenate([lists[c] for c in own[i : i + 256]]), minlength=len(texts))
+        common = common[beyond:]
+        either = size[x] + size[beyond:] - common
+        y = np.flatnonzero((common > 0) & (common * down >= either * up))
+        for column, values in zip(out, (np.full(len(y), x), y + beyond, common[y], either[y])):
+            column.append(values)
+    return tuple(np.concatenate(c) for c in out)
+
+
+def jaccard_pairs(df: DataFrame, k: int = 3, share: tuple[int, int] = (7, 20), block: int = 1_500) -> DataFrame:
+    """(a, b, common, either) of different texts that share enough of their windows, a < b by representative.
+
+    Of short windows nearly all texts have some in common, so that there are no
+    candidates to save: every block of texts meets every other once, and a task
+    counts the common windows of two blocks from lists. Work grows with the
+    square of the number of texts, at some ten million pairs a second and core.
+    Texts without a window match nothing; null texts and ids are left out.
+    """
+    named = written(distinct_texts(df.where("sequence is not null and id is not null")), "texts")
+    blocks = max(1, -(-named.count() // block))
+    own = named.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(13)), F.lit(blocks)).cast("int"))
+    sent = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sent = sent.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("visits"), "rep", "sequence")
+
+    def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["visits", "rep"])
+        ids = frame.rep.to_numpy()
+        x, y, common, either = matched_windows(frame.sequence.tolist(), k, share, None if key[0] == key[1] else int((~frame.visits).sum()))
+        one, two = ids[x], ids[y]
+        swap = one > two
+        return pd.DataFrame({"a": np.where(swap, two, one), "b": np.where(swap, one, two), "common": common, "either": either})
+
+    return sent.groupBy("i", "j").applyInPandas(compare, "a string, b string, common int, either int")
 
 
 def positional_identity(a: str, b: str, over: str = "greatest") -> Column:

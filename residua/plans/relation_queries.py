@@ -73,12 +73,15 @@ def q_family_pairs(spark, sf_dir):
 
 
 def q_alignment_identity(spark, sf_dir):
-    """Global alignment identity of all pairs with a fifth of their windows in common."""
+    """Global alignment identity of all pairs with a fifth of their windows in common, and whether the alignment rule puts them together."""
     rows = peptides(spark, sf_dir)
     pairs = similarity.jaccard_pairs(rows, 3, (1, 5))
     text = similarity.distinct_texts(rows)
     both = pairs.join(text.select(F.col("rep").alias("a"), F.col("sequence").alias("s_a")), "a").join(text.select(F.col("rep").alias("b"), F.col("sequence").alias("s_b")), "b")
-    return similarity.scored_pairs(both.select("a", "b", "s_a", "s_b")).select("a", "b", F.col("score").alias("identity"))
+    scored = similarity.scored_pairs(both.select("a", "b", "s_a", "s_b", "common", "either").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "b"))
+    shorter, longer = F.least(F.length("s_a"), F.length("s_b")), F.greatest(F.length("s_a"), F.length("s_b"))
+    same = ((shorter / longer >= 0.4) & (F.col("score") >= 0.40)) | ((longer < 20) & (F.col("common") / F.col("either") >= 0.25))
+    return scored.select("a", "b", F.col("score").alias("identity"), same.alias("same"))
 
 
 def q_short_matches(spark, sf_dir):

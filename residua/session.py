@@ -18,6 +18,8 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
         .appName("residua")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # work per byte is high here: small tables still use every core
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
