@@ -55,10 +55,13 @@ def profiles(df: DataFrame, margin: float = MARGIN) -> DataFrame:
     behind a cycle of dominance, which a margin makes possible, have no front and
     follow the others. Ties go to the lower toxicity, then to the smaller id.
     """
-    rows = written(measured(df).select("*", *[F.expr(f"CASE WHEN gate = 0 THEN {text} END").alias(name) for name, text in PLACES.items()]), "profiles")
-    ranked = pareto.crowding(pareto.fronts(rows, OBJECTIVES, margin), OBJECTIVES)
+    rows = written(measured(df), "profiles")
+    # only what the ranking needs goes through its shuffles
+    slim = rows.select("id", "gate", "tox", *[F.expr(f"CASE WHEN gate = 0 THEN {text} END").alias(name) for name, text in PLACES.items()])
     order = [F.col("gate"), F.col("front").asc_nulls_last(), F.col("crowding").desc_nulls_last(), F.col("tox"), F.col("id")]
-    return metrics.ranked(ranked, order).withColumn("crowding", F.when(F.col("crowding") < float("inf"), F.expr(scales.rounded("crowding", 4))))
+    ranked = metrics.ranked(pareto.crowding(pareto.fronts(slim, OBJECTIVES, margin), OBJECTIVES), order)
+    crowding = F.when(F.col("crowding") < float("inf"), F.expr(scales.rounded("crowding", 4))).alias("crowding")
+    return rows.join(ranked.select("id", "front", crowding, "rank"), "id")
 
 
 def flat(profile: DataFrame) -> DataFrame:
