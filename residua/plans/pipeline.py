@@ -129,7 +129,7 @@ cr AS ({crowding_sql('fo', OBJECTIVES)}),
 rk AS (SELECT *, {scales.rounded('crowded', 4)} AS crowding, row_number() OVER (ORDER BY gate, front NULLS LAST, CASE WHEN front IS NOT NULL AND crowded IS NULL THEN 1e308 ELSE crowded END DESC NULLS LAST, tox, id) AS rank FROM cr)
 """
 ORACLE = {
-    "q_profile": _PROFILE + f"SELECT {', '.join(c for c in FLAT if c != 'reasons')}, CASE WHEN reasons = '' THEN 'PASS' ELSE reasons END AS reasons FROM rk",
+    "q_profile": _PROFILE + f"SELECT {', '.join('len::INT AS len' if c == 'len' else c for c in FLAT if c != 'reasons')}, CASE WHEN reasons = '' THEN 'PASS' ELSE reasons END AS reasons FROM rk",
     "q_contract": _PROFILE
     + "SELECT id, CASE WHEN guard IS NULL THEN 'ok' ELSE 'abstain' END AS status, "
     + ", ".join(f"cal_{k} AS {n}_p_cal, prior_{k} AS {n}_p_prior_adj, CASE WHEN is_{k} THEN '{scoring.CLASSES[k][1]}' ELSE '{scoring.CLASSES[k][0]}' END AS {n}_decision" for k, n in (("ant", "antigenicity"), ("tox", "toxicity"), ("alg", "allergenicity")))
