@@ -198,7 +198,8 @@ def fronts(df: DataFrame, objectives: list[str], margin: float = 0.0, one_task:
                 yield frame.assign(front=_chained(matrix) if quick else _peeled(matrix, margin))
 
         found = distinct.coalesce(1).mapInPandas(sort, ", ".join(f"{o} double" for o in objectives) + ", front int").where("front >= 0")
-        return df.join(found, objectives, "left")
+        # sorted once, however often what follows runs (range partitions are sampled first)
+        return df.join(written(found, "sorted"), objectives, "left")
     live, found, level = distinct, None, 0
     while True:
         beaten = live.alias("b").join(live.alias("a"), dominates("a", "b", objectives, margin), "left_semi").select("b.*")
