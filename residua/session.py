@@ -60,8 +60,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _clean() -> None:
-    for path, spark in _written.items():
+def forget() -> None:
+    """Delete all copies written so far, as is done at the end.
+
+    For long sessions, between results: what still reads a copy must be finished.
+    """
+    while _written:
+        path, spark = _written.popitem()
         try:
             hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
@@ -69,4 +74,4 @@ def _clean() -> None:
             pass
 
 
-atexit.register(_clean)
+atexit.register(forget)

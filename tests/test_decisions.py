@@ -168,3 +168,16 @@ def test_records_with_one_id_stay_two(spark, tmp_path):
 def test_components_end_on_long_chains(spark):
     df = spark.createDataFrame([(f"c{i:03d}", f"c{i + 1:03d}") for i in range(60)], "a string, b string").repartition(5)
     assert {(r.node, r.root) for r in graph.connected(df).collect()} == {(f"c{i:03d}", "c000") for i in range(61)}
+
+
+def test_copies_can_be_forgotten(spark):
+    import os
+
+    from residua import session
+
+    one = session.written(spark.range(3), "three")
+    path = one.inputFiles()[0].removeprefix("file://")
+    assert one.count() == 3 and os.path.exists(path)
+    session.forget()
+    assert not os.path.exists(path)
+    assert session.written(spark.range(2), "two").count() == 2
