@@ -1,8 +1,8 @@
 """Problem 4: clusters of mutually similar records and their typical members.
 
 Two texts are alike if they share a quarter of the distinct three-residue
-windows that either has. Texts linked by seeds of eight residues (see
-``sketches``) form shards, inside which every text can meet every other. A shard
+windows that either has. Texts linked by seeds of eight residues with like
+surroundings (see ``sketches``) form shards, inside which every text can meet every other. A shard
 is divided by parallel pivot correlation clustering: texts have a random order,
 by their digest; a text before all its undecided neighbours becomes a pivot and
 absorbs them; rounds go on until every text is decided. Members then move to
@@ -37,6 +37,8 @@ from residua.session import written
 WINDOW, SHARE, LEAST = 3, (1, 4), 30
 #: Of texts just alike a twentieth to a tenth of the 8-residue windows agree.
 SEED, SEEDS = 8, 48
+#: Places around a common seed, of 16 in four classes, in which they must agree: of texts just alike about 13 do, of others 4 or 5.
+AGREE = 9
 #: Texts in a shard that one task clusters.
 SHARD = 2_000
 #: Texts of a shard that are compared pair by pair; more by the lists of their windows.
@@ -215,7 +217,7 @@ def clustered(records: DataFrame, share: tuple[int, int] = SHARE, window: int =
     if complete:
         home = text.select(F.col("sid").alias("node"), F.lit(0).cast("long").alias("root")).distinct()
     else:
-        home = components(linked_by_seeds(text, SEED, SEEDS, records))
+        home = components(linked_by_seeds(text, SEED, SEEDS, records, AGREE))
     large = written(home.groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") > shard).withColumnRenamed("root", "shard"), "large")
     turn = F.conv(F.substring(F.md5("residues"), 1, 15), 16, 10).cast("long").alias("turn")
     placed = text.join(home.select(F.col("node").alias("sid"), F.col("root").alias("shard")), "sid").select("shard", "sid", "residues")

@@ -21,7 +21,8 @@ from residua.llm import p08_packing as p8
 from residua.llm import p09_leaks as p9
 from residua.llm import p10_lookalikes as p10
 from residua.llm.forests import components, spanning
-from residua.llm.packets import Texts
+from residua.llm.packets import Texts, delivered
+from residua.llm.sketches import CLASS, FLANK, agreeing, flanks, linked_by_seeds
 
 LETTERS = "ACDEFGHIKLMNPQRSTVWY"
 RECORD = "seq_id string, sequence string, a long, sid long, residues string, shard int"
@@ -520,3 +521,32 @@ def test_windows_of_batches():
     text, at, value = texts.windows(3)
     assert text.tolist() == [0, 0, 0, 3, 3, 3] and at.tolist() == [0, 1, 2] * 2
     assert value[:3].tolist() == value[3:].tolist() and len(set(value.tolist())) == 3
+
+
+def test_p4_chance_windows_tie_no_shards_together(spark):
+    rng = np.random.default_rng(31)
+    # a chain of unrelated texts, each with a window of eight residues of the next, and mutated copies of each
+    chain = ["".join(rng.choice(list(LETTERS), 60)) for _ in range(40)]
+    chain = [a[:30] + b[10:18] + a[38:] for a, b in zip(chain, [*chain[1:], chain[0]])]
+    changed = [t[:50] + ("A" if t[50] != "A" else "C") + t[51:] for t in chain]
+    records = spark.createDataFrame([(f"p{i:03d}", t) for i, t in enumerate(chain + changed)], "seq_id string, sequence string")
+    text = delivered(records, 30).select("sid", "residues")
+    found = {agree: components(linked_by_seeds(text, p4.SEED, 64, records, agree)).groupBy("root").count().agg({"count": "max"}).first()[0] for agree in (0, p4.AGREE)}
+    assert found == {0: 80, p4.AGREE: 2}
+    out = p4.clustered(records).select("sid", "root").collect()
+    assert len(out) == 80 and len({r.root for r in out}) == 40
+
+
+def test_flanks_beside_seeds():
+    texts = Texts(pa.array(["ACDEFGHIKLMNPQRSTVWYACDEFG", "", "GHIKLMNPQ"]))
+    place = np.array([0, 10, 18, 26, 27])
+    text = np.array([0, 0, 0, 2, 2])
+    kinds = [[0] * FLANK + [CLASS[ord(c) & 31] for c in t] + [0] * FLANK for t in ("ACDEFGHIKLMNPQRSTVWYACDEFG", "GHIKLMNPQ")]
+    plain = []
+    for i, at in zip((0, 0, 0, 1, 1), (0, 10, 18, 0, 1)):
+        row = kinds[i]
+        plain.append(sum(int(c) << 2 * (15 - j) for j, c in enumerate(row[at : at + 8] + row[at + 16 : at + 24])))
+    got = flanks(texts, text, place, 8)
+    assert got.tolist() == plain
+    assert agreeing(got, got).tolist() == [16] * 5
+    assert agreeing(np.array([0b1101], np.uint32), np.array([0b0001], np.uint32)).tolist() == [15]
