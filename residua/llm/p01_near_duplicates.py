@@ -28,6 +28,8 @@ WINDOW, SHARE, LEAST = 5, (3, 5), 30
 #: Windows and number of the seeds: of a pair at the threshold about 0.6 of the
 #: 8-residue windows agree, so that it is missed with a probability near 0.4 ** 16.
 SEED, SEEDS = 8, 16
+#: Places around a common seed, of 16 in four classes, in which they must agree: of texts at the threshold about 15 do, of others 4 or 5.
+AGREE = 10
 #: Texts in one BK-tree.
 SHARD = 4000
 
@@ -111,7 +113,7 @@ def near_pairs(records: DataFrame, share: tuple[int, int] = SHARE, window: int =
     Null and short sequences take no part, ties and repeated rows change nothing.
     """
     text = delivered(records, least).select("sid", "residues")
-    seeded = linked_by_seeds(text, SEED, SEEDS, records)
+    seeded = linked_by_seeds(text, SEED, SEEDS, records, AGREE)
     home = components(seeded)
     sizes = home.groupBy("root").count().where(F.col("count") > shard).select("root", F.ceil(F.col("count") / shard).cast("int").alias("blocks"))
     home = home.join(sizes, "root", "left").select(F.col("node").alias("sid"), F.col("root").alias("shard"), F.coalesce("blocks", F.lit(1)).alias("blocks"))

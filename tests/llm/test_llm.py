@@ -550,3 +550,31 @@ def test_flanks_beside_seeds():
     assert got.tolist() == plain
     assert agreeing(got, got).tolist() == [16] * 5
     assert agreeing(np.array([0b1101], np.uint32), np.array([0b0001], np.uint32)).tolist() == [15]
+
+
+def chained_texts(seed):
+    """Unrelated texts, each with a window of eight residues of the next, and a mutated copy of each."""
+    rng = np.random.default_rng(seed)
+    chain = ["".join(rng.choice(list(LETTERS), 30)) for _ in range(40)]
+    chain = [a[:11] + b[2:10] + a[19:] for a, b in zip(chain, [*chain[1:], chain[0]])]
+    return chain, [t[:29] + ("A" if t[29] != "A" else "C") for t in chain]
+
+
+def largest_shard(module, monkeypatch):
+    sizes = []
+
+    def measured(edges):
+        out = components(edges)
+        sizes.append(out.groupBy("root").count().agg({"count": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(module, "components", measured)
+    return sizes
+
+
+def test_p1_chance_windows_tie_no_shards_together(spark, monkeypatch):
+    chain, changed = chained_texts(37)
+    sizes = largest_shard(p1, monkeypatch)
+    records = spark.createDataFrame([(f"p{i:03d}", t) for i, t in enumerate(chain + changed)], "seq_id string, sequence string")
+    assert p1.near_pairs(records).count() == 40
+    assert sizes == [2]
