@@ -578,3 +578,12 @@ def test_p1_chance_windows_tie_no_shards_together(spark, monkeypatch):
     records = spark.createDataFrame([(f"p{i:03d}", t) for i, t in enumerate(chain + changed)], "seq_id string, sequence string")
     assert p1.near_pairs(records).count() == 40
     assert sizes == [2]
+
+
+def test_p6_chance_windows_tie_no_shards_together(spark, monkeypatch):
+    chain, changed = chained_texts(37)
+    sizes = largest_shard(p6, monkeypatch)
+    records = spark.createDataFrame([(f"p{i:03d}", t) for i, t in enumerate(chain + changed)], "seq_id string, sequence string")
+    splits = spark.createDataFrame([(f"p{i:03d}", "inner_train" if i < 40 else "outer_test") for i in range(80)], "seq_id string, split_name string")
+    assert p6.overlaps(records, splits).count() == 40
+    assert sizes == [2]
