@@ -31,11 +31,12 @@ def permuted(df: DataFrame, times: int = 30, blocks: int = 256) -> DataFrame:
     """(k, id, y, p): labels exchanged at random between the rows of a block, ``times`` over.
 
     Blocks are cut by digest, so that no permutation passes through one task; give
-    more of them for more rows.
+    more of them for more rows. Both sides are sorted and merged: Spark's estimate
+    does not know of the repetition and would broadcast them through the driver.
     """
     rows = df.select("id", "y", "p").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(times))))
     word: Column = F.md5(F.concat_ws(":", F.col("k"), F.col("id")))
     rows = rows.withColumn("block", F.conv(F.substring(word, 1, 4), 16, 10).cast("int") % blocks)
     here = rows.withColumn("place", F.row_number().over(Window.partitionBy("k", "block").orderBy(word, "id")))
     there = rows.withColumn("place", F.row_number().over(Window.partitionBy("k", "block").orderBy(F.md5(word), "id")))
-    return here.select("k", "block", "place", "id", "p").join(there.select("k", "block", "place", "y"), ["k", "block", "place"]).select("k", "id", "y", "p")
+    return here.select("k", "block", "place", "id", "p").join(there.select("k", "block", "place", "y").hint("merge"), ["k", "block", "place"]).select("k", "id", "y", "p")

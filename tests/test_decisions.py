@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from residua.operators import decisions, domain, graph, reports, similarity, splits, suites
+from residua.session import written
 from residua.sources.fasta import read_fasta
 from residua.sources.files import read_records
 
@@ -181,3 +182,10 @@ def test_copies_can_be_forgotten(spark):
     session.forget()
     assert not os.path.exists(path)
     assert session.written(spark.range(2), "two").count() == 2
+
+
+def test_permuted_labels_are_not_broadcast(spark):
+    df = spark.createDataFrame([(str(i), i % 2, i / 100) for i in range(100)], "id string, y int, p double")
+    out = suites.permuted(written(df, "scores"), 30)
+    assert out.count() == 3000
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
