@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Letters made of a digest, and the strings of each category, in the SQL of either engine.
@@ -31,12 +31,14 @@ def permuted(df: DataFrame, times: int = 30, blocks: int = 256) -> DataFrame:
     """(k, id, y, p): labels exchanged at random between the rows of a block, ``times`` over.
 
     Blocks are cut by digest, so that no permutation passes through one task; give
-    more of them for more rows. Both sides are sorted and merged: Spark's estimate
-    does not know of the repetition and would broadcast them through the driver.
+    more of them for more rows. The rows of a block are sent once and sorted twice
+    where they meet, so that nothing is joined.
     """
     rows = df.select("id", "y", "p").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(times))))
     word: Column = F.md5(F.concat_ws(":", F.col("k"), F.col("id")))
     rows = rows.withColumn("block", F.conv(F.substring(word, 1, 4), 16, 10).cast("int") % blocks)
-    here = rows.withColumn("place", F.row_number().over(Window.partitionBy("k", "block").orderBy(word, "id")))
-    there = rows.withColumn("place", F.row_number().over(Window.partitionBy("k", "block").orderBy(F.md5(word), "id")))
-    return here.select("k", "block", "place", "id", "p").join(there.select("k", "block", "place", "y").hint("merge"), ["k", "block", "place"]).select("k", "id", "y", "p")
+    met = rows.groupBy("k", "block").agg(F.collect_list(F.struct("id", "y", "p")).alias("rows"))
+    here = F.expr("array_sort(transform(rows, r -> struct(md5(concat_ws(':', k, r.id)) AS w, r.id AS id, r.p AS p)))")
+    there = F.expr("array_sort(transform(rows, r -> struct(md5(md5(concat_ws(':', k, r.id))) AS w, r.id AS id, r.y AS y)))")
+    pairs = met.select("k", F.explode(F.arrays_zip(here.alias("here"), there.alias("there"))).alias("m"))
+    return pairs.select("k", "m.here.id", "m.there.y", "m.here.p")
