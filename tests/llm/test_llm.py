@@ -22,7 +22,7 @@ from residua.llm import p09_leaks as p9
 from residua.llm import p10_lookalikes as p10
 from residua.llm.forests import components, spanning
 from residua.llm.packets import Texts, delivered
-from residua.llm.sketches import CLASS, FLANK, agreeing, flanks, linked_by_seeds
+from residua.llm.sketches import CLASS, ENTRY, FLANK, agreeing, flanks, keys_of, linked_by_seeds
 
 LETTERS = "ACDEFGHIKLMNPQRSTVWY"
 RECORD = "seq_id string, sequence string, a long, sid long, residues string, shard int"
@@ -537,6 +537,13 @@ def test_p4_chance_windows_tie_no_shards_together(spark):
     assert len(out) == 80 and len({r.root for r in out}) == 40
 
 
+def test_keys_of_any_width():
+    for dtype, width in ((ENTRY, 3), (p2.ANCHOR, 6)):
+        entries = np.zeros(3, dtype)
+        entries["key"] = [bytes([i] * width) for i in (1, 2, 255)]
+        assert keys_of(entries).tolist() == [int.from_bytes(bytes([i] * width), "little") for i in (1, 2, 255)]
+
+
 def test_flanks_beside_seeds():
     texts = Texts(pa.array(["ACDEFGHIKLMNPQRSTVWYACDEFG", "", "GHIKLMNPQ"]))
     place = np.array([0, 10, 18, 26, 27])
