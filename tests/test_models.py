@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -38,6 +39,23 @@ def test_window_matches_are_those_of_all_windows(spark, block):
     assert regulatory.window_matches(spark.createDataFrame(queries, schema), none).count() == 0
 
 
+def test_window_matches_take_a_fraction_of_pair_by_pair(spark):
+    rng = random.Random(13)
+    queries, refs = ([(f"{c}{i:04d}", text(rng, 130), None) for i in range(n)] for c, n in (("q", 256), ("r", 769)))
+    began = time.perf_counter()
+    pairs = [(ungapped_identity(q, r, 80, 3), j) for _, q, _ in queries[:2] for j, r, _ in refs]
+    plain = (time.perf_counter() - began) * len(queries) / 2
+    schema = "id string, sequence string, grp string"
+    asked, known = spark.createDataFrame(queries, schema), spark.createDataFrame(refs, schema)
+    regulatory.window_matches(asked.limit(1), known).collect()
+    began = time.perf_counter()
+    got = {r.id: (r.identity, r.reference_id) for r in regulatory.window_matches(asked, known).collect()}
+    assert time.perf_counter() - began < plain / 12
+    for k in range(2):
+        v, j = min((-v, j) for v, j in pairs[k * len(refs) : (k + 1) * len(refs)])
+        assert got[f"q{k:04d}"] == (round(-v, 4), j)
+
+
 def test_matrix_file(tmp_path):
     path = tmp_path / "matrix.txt"
     path.write_text("# scores\n   A  C  X\nA  4 -1  0\nC -1  9 -2\nX  0 -2 -1\n")
