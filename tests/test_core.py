@@ -211,6 +211,33 @@ def test_window_pairs_and_positional_pairs(spark):
     assert {(r.a, r.b) for r in similarity.positional_pairs(df, 0.95).collect()} == want
 
 
+def test_windows_of_a_text_begin_with_the_most_frequent():
+    text, code = similarity.window_codes(["ACDEF", "XCDE", "WCDE", "MACD", ""], 3)
+    assert text.tolist() == [0, 0, 0, 1, 1, 2, 2, 3, 3] and code[:2].tolist() == [0, 1] and code[[3, 5, 7]].tolist() == [0, 0, 1]
+
+
+@pytest.mark.parametrize("home", [None, 0, 20, 40])
+def test_frequent_windows_are_spared_without_losing_pairs(home):
+    rng = random.Random(8)
+    texts = random_texts(12, 9, 0, 90) + ["".join(rng.choice("ACD") for _ in range(rng.randint(0, 60))) for _ in range(8)]
+    texts += ["".join(rng.choice(LETTERS) if rng.random() < 0.1 else c for c in t) for t in texts]
+    sets = [{t[i : i + 3] for i in range(len(t) - 2)} for t in texts]
+    for up, down in ((7, 20), (1, 5), (1, 1)):
+        met = itertools.combinations(range(40), 2) if home is None else itertools.product(range(home), range(home, 40))
+        want = {(x, y, len(sets[x] & sets[y]), len(sets[x] | sets[y])) for x, y in met if sets[x] & sets[y] and down * len(sets[x] & sets[y]) >= up * len(sets[x] | sets[y])}
+        assert set(zip(*(c.tolist() for c in similarity.matched_windows(texts, 3, (up, down), home)))) == want
+
+
+def test_window_pairs_of_many_blocks(spark):
+    rng = random.Random(10)
+    bases = random_texts(30, 10, 3, 200)
+    texts = sorted({"".join(rng.choice(LETTERS) if rng.random() < rate else c for c in base) for base in bases for rate in (0, 0.05, 0.1)})
+    df = seqs(spark, texts)
+    one = sorted(map(tuple, similarity.jaccard_pairs(df).collect()))
+    assert one == sorted(map(tuple, similarity.jaccard_pairs(df, block=7).collect())) and len(one) > 20
+    assert similarity.jaccard_pairs(df.limit(0)).count() == 0
+
+
 def slow_identity(a, b):
     m, n = len(a), len(b)
     low = -1e9
