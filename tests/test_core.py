@@ -260,6 +260,15 @@ def test_global_alignment():
     assert similarity.global_identity(PEPTIDE, PEPTIDE) == 1.0
 
 
+def test_alignments_side_by_side_are_those_one_by_one():
+    rng = random.Random(16)
+    left = random_texts(60, 17, 1, 120) + ["", "A", "", "BXA"]
+    right = ["".join(c if rng.random() < 0.8 else rng.choice(LETTERS) for c in t if rng.random() < 0.95) for t in left[:40]] + random_texts(20, 18, 1, 120) + ["", "", "A", "AXB"]
+    pairs = list(zip(left, right))
+    for cells in (1, 600, 16_000):
+        assert similarity.global_identities(pairs, cells=cells).tolist() == [similarity.global_identity(a, b) for a, b in pairs]
+
+
 def test_local_alignment_windows():
     matrix = np.full((21, 21), -3.0)
     np.fill_diagonal(matrix, 5)
