@@ -304,6 +304,17 @@ def edits(a, b):
     return row[-1]
 
 
+def test_edit_distances_to_many():
+    for low, high in ((1, 29), (31, 34), (60, 64)):
+        texts = random_texts(20, 32, low, high)
+        others = sorted(random_texts(20, 33, 1, 64) + [texts[0], texts[1][:-1]], key=len)
+        points = np.zeros((len(others), len(others[-1])), np.uint32)
+        for row, t in zip(points, others):
+            row[: len(t)] = [ord(c) for c in t]
+        for t in texts:
+            assert similarity.edit_distances(t, points, np.array([len(x) for x in others])).tolist() == [edits(t, x) for x in others]
+
+
 def test_short_texts_are_a_family_by_edits_alone(spark):
     texts = random_texts(60, 31, 6, 34)
     text = {f"r{i:02d}": t for i, t in enumerate(sorted(set(texts)))}
