@@ -60,11 +60,8 @@ def q_family_clusters(spark, sf_dir):
 
 def q_family_rule(spark, sf_dir):
     """The homology rule on all pairs of texts with a fifth of their windows in common; ``q_family_pairs`` is the whole rule."""
-    rows = peptides(spark, sf_dir)
-    pairs = similarity.jaccard_pairs(rows, 3, (1, 5))
-    text = similarity.distinct_texts(rows)
-    both = pairs.join(text.select(F.col("rep").alias("a"), F.col("sequence").alias("s_a")), "a").join(text.select(F.col("rep").alias("b"), F.col("sequence").alias("s_b")), "b")
-    return both.select("a", "b", similarity.same_family("s_a", "s_b", "common", "either").alias("same"))
+    pairs = similarity.jaccard_pairs(peptides(spark, sf_dir), 3, (1, 5), texts=True)
+    return pairs.select("a", "b", similarity.same_family("s_a", "s_b", "common", "either").alias("same"))
 
 
 def q_family_pairs(spark, sf_dir):

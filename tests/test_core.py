@@ -1,5 +1,6 @@
 """Core operators against plain Python, published facts and awkward input."""
 
+import collections
 import itertools
 import math
 import random
@@ -228,6 +229,55 @@ def test_frequent_windows_are_spared_without_losing_pairs(home):
         assert set(zip(*(c.tolist() for c in similarity.matched_windows(texts, 3, (up, down), home)))) == want
 
 
+def test_rows_of_bits_are_summed():
+    rng = np.random.default_rng(3)
+    bits = rng.integers(0, 1 << 62, (20, 2), np.uint64)
+    for n in (1, 2, 3, 4, 9, 17):
+        rows = rng.integers(0, 20, (n, 3))
+        digits = similarity.summed(bits, rows)
+        for i, word, bit in itertools.product(range(3), range(2), (0, 5, 61)):
+            want = sum(int(bits[r, word]) >> bit & 1 for r in rows[:, i])
+            assert sum((int(d[i, word]) >> bit & 1) << p for p, d in enumerate(digits)) == want
+
+
+@pytest.mark.parametrize("home", [None, 900])
+def test_texts_counted_together_are_told_apart(home):
+    rng = random.Random(41)
+    texts = random_texts(1_500, 42, 20, 160)
+    texts += ["".join(rng.choice(LETTERS) if rng.random() < rate else c for c in t) for t in texts[:300] for rate in (0.1, 0.25)]
+    rng.shuffle(texts)
+    sets = [{t[i : i + 3] for i in range(len(t) - 2)} for t in texts]
+    known = {}
+    for i, s in enumerate(sets):
+        for w in s:
+            known.setdefault(w, []).append(i)
+    common = collections.Counter(p for held in known.values() for p in itertools.combinations(held, 2))
+    for up, down in ((7, 20), (1, 5)):
+        want = {(x, y, n, len(sets[x] | sets[y])) for (x, y), n in common.items() if n * down >= up * (len(sets[x]) + len(sets[y]) - n) and (home is None or x < home <= y)}
+        assert set(zip(*(c.tolist() for c in similarity.matched_windows(texts, 3, (up, down), home)))) == want and len(want) > 100
+
+
+def test_windows_of_many_letters_keep_their_codes():
+    texts = ["".join(chr(0x4E00 + (i * 37 + j * j) % 3_000) for j in range(40)) for i in range(60)] + ["ACD", ""]
+    text, code = similarity.window_codes(texts, 3)
+    held = [{t[i : i + 3] for i in range(len(t) - 2)} for t in texts]
+    names = {}
+    for i, s in enumerate(held):
+        own = code[text == i].tolist()
+        assert len(own) == len(set(own)) == len(s)
+        for c in own:
+            names[c] = names.get(c, set(s)) & s
+    assert len(names) == len(set().union(*held)) and all(names.values())
+
+
+def test_window_pairs_come_with_their_texts(spark):
+    texts = sorted(set(random_texts(40, 43, 5, 9)))
+    text = {f"s{i:03d}": t for i, t in enumerate(texts)}
+    for block in (60_000, 9):
+        rows = similarity.jaccard_pairs(seqs(spark, texts), 1, (1, 5), block, texts=True).collect()
+        assert rows and all(text[r.a] == r.s_a and text[r.b] == r.s_b and r.a < r.b for r in rows)
+
+
 def test_window_pairs_of_many_blocks(spark):
     rng = random.Random(10)
     bases = random_texts(30, 10, 3, 200)
